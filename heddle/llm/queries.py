@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import mixing, quality_rules
+from . import bpe, mixing, quality_rules
 
 QUERIES = {
     "op4_mix_sources": mixing.op4_mix_sources,
+    "op7_byte_bpe": bpe.op7_byte_bpe,
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
 
