@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, mixing, quality_rules
+from . import bpe, mixing, quality_rules, token_store
 
 QUERIES = {
+    "op3_token_ids": token_store.op3_token_ids,
     "op4_mix_sources": mixing.op4_mix_sources,
     "op7_byte_bpe": bpe.op7_byte_bpe,
     "op10_quality_rules": quality_rules.op10_quality_rules,
