@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, mixing, quality_rules, token_store
+from . import bpe, minhash, mixing, quality_rules, token_store
 
 QUERIES = {
+    "op2_near_duplicates": minhash.op2_near_duplicates,
     "op3_token_ids": token_store.op3_token_ids,
     "op4_mix_sources": mixing.op4_mix_sources,
     "op7_byte_bpe": bpe.op7_byte_bpe,
