@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import itertools
 import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -28,15 +29,14 @@ SCHEMA = "part int, row long, doc_id long, start_in_part long, n_tokens long, id
 ORC = {"orc.compress": "ZSTD", "orc.stripe.size": str(64 << 20), "orc.create.index": "true", "orc.row.index.stride": "10000", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01"}
 END_ID = 2
 #: Words that a worker remembers in each of two generations.
-CACHE = 300_000
-_SPLIT = re.compile(r"[ \t\n\r\x0b\x0c]+")
-
+CACHE = 500_000
 
 class WordEncoder:
     """Encodes texts by the tokenizers library, each distinct run between ASCII blanks once.
 
-    The tokenizer drops white space and no token spans it, so the ids of a text are those of its runs in order
-    (`splits_at_blanks` tells whether a tokenizer is of that kind; others get whole texts).
+    The tokenizer drops white space, puts texts in lower case and makes no token across white space, so the ids of a
+    text are those of its runs in order (`splits_at_blanks` tells whether a tokenizer is of that kind; others get whole
+    texts).
     """
 
     def __init__(self, json_text: str):
@@ -45,36 +45,70 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_str(json_text)
         self.tokenizer.encode_special_tokens = True
         self.by_word = splits_at_blanks(json_text)
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        if not self.by_word:
-            return self._encode(texts)
-        words = [_SPLIT.split(t) for t in texts]
-        need = set(itertools.chain.from_iterable(words)).difference(self.young)
-        if len(self.young) + len(need) > CACHE:
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        self.ends = {c: self._ids([c])[0].tobytes() for c in ".,"}
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encode(self, word: bytes) -> bytes:
+        """A run of letters in normal form goes straight to the library's merges; all else takes its whole path."""
+        text = word.decode("utf-8", "surrogatepass")
+        end = self.ends.get(text[-1:], b"")
+        core = text[:-1] if end else text
+        if core.isalpha() and (core.isascii() or core.lower() == core and unicodedata.is_normalized("NFC", core)):
+            mapped = core if core.isascii() else core.encode().decode("latin-1").translate(BYTE_LETTERS)
+            return np.array([t.id for t in self.tokenizer.model.tokenize(mapped)], "<u4").tobytes() + end
+        return self._ids([text])[0].tobytes()
+
+    def _learn(self, words: set[bytes]) -> dict[bytes, bytes]:
+        """Remembers words; returns those that are not to be remembered."""
+        if len(self.young) + len(words) > CACHE:
             self.old, self.young = self.young, {}
-            need = set(itertools.chain.from_iterable(words))
-        new = []
-        for w in need:
-            if (known := self.old.get(w)) is not None:
-                self.young[w] = known
+        long = {}
+        for w in words:
+            ids = self.old.get(w)
+            if ids is None:
+                ids = self._encode(w)
+            if len(w) <= 100:
+                self.young[w] = ids
             else:
-                new.append(w)
-        self.young.update(zip(new, self._encode(new), strict=True))
-        out = [b"".join(map(self.young.__getitem__, w)) for w in words]
-        for w in need:
-            if len(w) > 200:
-                del self.young[w]
+                long[w] = ids
+        return long
+
+    def __call__(self, texts: list[bytes]) -> list[bytes]:
+        """texts: in UTF-8. The ids of each, as little-endian 32-bit integers."""
+        if not self.by_word:
+            return [x.tobytes() for x in self._ids([t.decode() for t in texts])]
+        words = [t.lower().split() for t in texts]
+        flat = list(itertools.chain.from_iterable(words))
+        ids = list(map(self.young.get, flat))
+        gaps = [i for i, x in enumerate(ids) if x is None]
+        if gaps:
+            before = self.young
+            rest = self._learn({flat[i] for i in gaps})
+            for i in gaps:
+                ids[i] = self.young.get(flat[i]) or rest.get(flat[i]) or before.get(flat[i], b"")
+        out, at = [], 0
+        for w in words:
+            out.append(b"".join(ids[at : at + len(w)]))
+            at += len(w)
         return out
 
 
+def _byte_letters() -> dict[int, int]:
+    """The public byte-level alphabet: printable bytes stand for themselves, the others for letters from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in plain]
+    return {b: b for b in plain} | {b: 256 + k for k, b in enumerate(others)}
+
+
+BYTE_LETTERS = _byte_letters()
+
+
 def splits_at_blanks(json_text: str) -> bool:
-    """Whether the pre-tokenizer drops what its pattern does not match and the pattern matches no blank."""
+    """Whether texts are put in lower case, what the pattern does not match is dropped, and it matches no blank."""
     import json
 
     spec = json.loads(json_text)
@@ -83,7 +117,9 @@ def splits_at_blanks(json_text: str) -> bool:
     first = steps[0] if steps else {}
     pattern = (first.get("pattern") or {}).get("Regex", "")
     alternatives = re.sub(r"\[\^\\s[^\]]*\]\+?|\[\\p\{[LN]\}\]\+?|'[a-z]+|\|", "", pattern)
-    return first.get("type") == "Split" and bool(first.get("invert")) and first.get("behavior") == "Removed" and bool(pattern) and not alternatives
+    norm = spec.get("normalizer") or {}
+    lower = any(x.get("type") == "Lowercase" for x in norm.get("normalizers", [norm]))
+    return lower and first.get("type") == "Split" and bool(first.get("invert")) and first.get("behavior") == "Removed" and bool(pattern) and not alternatives
 
 
 _encoders: dict[int, WordEncoder] = {}
@@ -112,7 +148,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer_json: str, end_id: int = END
         encode, end = encoder_of(told.value), np.array([end_id], "<u4").tobytes()
         part, row, start = TaskContext.get().partitionId(), 0, 0
         for batch in batches:
-            ids = [x + end for x in encode([x or "" for x in batch.column(1).to_pylist()])]
+            ids = [x + end for x in encode([x or b"" for x in batch.column(1).cast(pa.binary()).to_pylist()])]
             n = np.fromiter((len(x) // 4 for x in ids), np.int64, len(ids))
             ends = start + np.cumsum(n)
             flat = pa.Array.from_buffers(pa.int32(), int(n.sum()), [None, pa.py_buffer(b"".join(ids))])
