@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import bpe, minhash, mixing, quality_rules, token_store
+from . import bpe, html_tree, lz, minhash, mixing, quality_rules, token_store
 
 QUERIES = {
     "op2_near_duplicates": minhash.op2_near_duplicates,
     "op3_token_ids": token_store.op3_token_ids,
     "op4_mix_sources": mixing.op4_mix_sources,
+    "op6_lz_fingerprints": lz.op6_lz_fingerprints,
     "op7_byte_bpe": bpe.op7_byte_bpe,
+    "op9_main_text": html_tree.op9_main_text,
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
 
