@@ -3,9 +3,9 @@
 Texts with equal shingle sets are one node. In each band a bucket's smallest document is its pivot and the others are
 paired with it (no bucket makes all pairs). Pairs whose signatures agree enough are confirmed on their full sets, and
 confirmed pairs become components. A bucket whose members are then in more than one component could still hide a link:
-in small ones (at most `SMALL` members) the pairs across components are tried too; in large ones a pair is tried only
-if it can reach the threshold at all, given how many shingles each side shares with any other member. So what is left
-to chance is only that two similar texts share no band (5e-6 at similarity 0.75, less above).
+the pairs across components are tried too, in large buckets (over `SMALL` members) those of which 2048-bit sketches
+agree. So what is left to chance is that two similar texts share no band (5e-6 at similarity 0.75, less above) or that
+their sketches are 4.5 deviations off.
 
 Defined cases: null, empty and blank texts have no shingles and are linked with nothing; ids may repeat (one node);
 rows with a null id are linked with nothing and have a null component; an empty table gives an empty result.
@@ -30,6 +30,9 @@ BANDS = MINIMA // BAND
 #: Pairs that agree in fewer minima are not looked at again: 7 deviations below what 0.75 gives.
 LEAST_EQUAL = 62
 SMALL = 24
+#: Longs of a sketch, and the most bits that two may differ in: 256 are expected at 0.75, 4.5 deviations are allowed.
+SKETCH = 32
+MOST_APART = 323
 CACHE = 300_000
 
 _rng = np.random.Generator(np.random.PCG64(20240))
@@ -37,6 +40,8 @@ _PLACE = _rng.integers(1, 2**63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uin
 _A = (_rng.integers(1, 2**63, (MINIMA, 1), dtype=np.uint64) * np.uint64(2)) + np.uint64(1)
 _B = _rng.integers(0, 2**63, (MINIMA, 1), dtype=np.uint64)
 _BAND = _rng.integers(1, 2**63, BAND, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_SA = (_rng.integers(1, 2**63, (64 * SKETCH, 1), dtype=np.uint64) * np.uint64(2)) + np.uint64(1)
+_SB = _rng.integers(0, 2**63, (64 * SKETCH, 1), dtype=np.uint64)
 
 
 class WordHashes(dict):
@@ -138,9 +143,6 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     The larger id's text meets the pair first, so that a pivot's text is never repeated in a shuffle.
     """
-    ids = store.keep(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "pair-ids")
-    if ids.count() <= store.BROADCAST_ROWS:
-        texts = texts.join(F.broadcast(ids), "id", "left_semi")
     with_b = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
     both = with_b.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
 
@@ -170,31 +172,31 @@ def _across(members: DataFrame, docs: DataFrame) -> DataFrame:
     small = open_.filter(F.col("rows") <= SMALL)
     odd = lambda df: df.filter(F.col("comp") != F.col("top"))
     out = odd(small).alias("x").join(small.alias("y"), (F.col("x.key") == F.col("y.key")) & pair).select(*ends)
-    large = open_.filter(F.col("rows") > SMALL)
-    ids = store.keep(large.select("id").distinct(), "large-ids")
-    if not ids.isEmpty():
-        # Shingles that no other member of a large bucket has bound what a text can share with any of them.
-        shared = store.keep(_shared(docs, ids), "shared")
-        able = large.join(shared, "id").filter(100 * F.col("shared") >= THRESHOLD * F.col("n"))
-        able = store.keep(able, "able")
-        most = F.least("x.shared", "y.shared")
-        fits = pair & (100 * most >= THRESHOLD * (F.col("x.n") + F.col("y.n") - most))
+    large = store.keep(open_.filter(F.col("rows") > SMALL), "large")
+    if not large.isEmpty():
+        # Sketches are compared inside the join, and a pair that meets in several buckets comes from the first of them.
+        keys_of = large.groupBy("id").agg(F.array_sort(F.collect_set("key")).alias("keys"))  # at most one a band
+        able = store.keep(large.join(store.keep(sketched(docs.join(keys_of, "id")), "sketches"), "id"), "able")
+        apart = sum((F.bit_count(F.col(f"x.s{k}").bitwiseXOR(F.col(f"y.s{k}"))) for k in range(SKETCH)), F.lit(0))
+        fits = pair & (apart <= MOST_APART) & (F.element_at(F.array_intersect("x.keys", "y.keys"), 1) == F.col("x.key"))
         out = out.union(odd(able).alias("x").join(able.alias("y"), (F.col("x.key") == F.col("y.key")) & fits).select(*ends))
     return out.distinct()
 
 
-def _shared(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """id, shared: its shingles that another of these ids has too. Counted by map-side sums."""
+def sketched(docs: DataFrame) -> DataFrame:
+    """docs (id, text, keys) with one bit of each of 64 * SKETCH minima instead of the text, as the longs s0, s1, ..."""
 
     def run(batches):
         for batch in batches:
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                s = shingles(t)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), i)), pa.array(s.view(np.int64))], ["id", "shingle"])
-
-    rows = store.keep(docs.join(ids, "id", "left_semi").mapInArrow(run, "id long, shingle long"), "large-shingles")
-    often = store.keep(rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("shingle"), "often")
-    return rows.join(often, "shingle", "left_semi").groupBy("id").agg(F.count(F.lit(1)).alias("shared"))
+            rows = np.empty((batch.num_rows, SKETCH), np.int64)
+            for i, t in enumerate(batch.column(1).to_pylist()):
+                s, least = shingles(t), np.full(64 * SKETCH, 2**64 - 1, np.uint64)
+                for at in range(0, len(s), 256):
+                    np.minimum(least, (_SA * s[None, at : at + 256] + _SB).min(1), out=least)
+                rows[i] = np.packbits((_mix(least >> np.uint64(20)) & np.uint64(1)).astype(np.uint8)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *[pa.array(rows[:, k]) for k in range(SKETCH)]], ["id", "keys", *[f"s{k}" for k in range(SKETCH)]])
+
+    return docs.select("id", "text", "keys").mapInArrow(run, "id long, keys array<long>, " + ", ".join(f"s{k} long" for k in range(SKETCH)))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
