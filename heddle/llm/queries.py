@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, html_tree, lz, minhash, mixing, quality_rules, token_store, toxicity, url_filters
+from . import bpe, html_tree, lz, minhash, mixing, quality_rules, substring, token_store, toxicity, url_filters
 
 QUERIES = {
     "op1_url_filters": url_filters.op1_url_filters,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_lz_fingerprints": lz.op6_lz_fingerprints,
     "op7_byte_bpe": bpe.op7_byte_bpe,
+    "op8_repeated_passages": substring.op8_repeated_passages,
     "op9_main_text": html_tree.op9_main_text,
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
