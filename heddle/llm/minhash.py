@@ -3,7 +3,7 @@
 Texts with equal shingle sets are one node. In each band a bucket's smallest document is its pivot and the others are
 paired with it (no bucket makes all pairs). Pairs whose signatures agree enough are confirmed on their full sets, and
 confirmed pairs become components. A bucket whose members are then in more than one component could still hide a link:
-the pairs across components are tried too, in large buckets (over `SMALL` members) those of which 2048-bit sketches
+the pairs across components are tried too, in large buckets (over `SMALL` members) those of which 4096-bit sketches
 agree. So what is left to chance is that two similar texts share no band (5e-6 at similarity 0.75, less above) or that
 their sketches are 4.5 deviations off.
 
@@ -30,9 +30,9 @@ BANDS = MINIMA // BAND
 #: Pairs that agree in fewer minima are not looked at again: 7 deviations below what 0.75 gives.
 LEAST_EQUAL = 62
 SMALL = 24
-#: Longs of a sketch, and the most bits that two may differ in: 256 are expected at 0.75, 4.5 deviations are allowed.
-SKETCH = 32
-MOST_APART = 323
+#: Longs of a sketch, and the most bits that two may differ in: 512 are expected at 0.75, 4.5 deviations are allowed.
+SKETCH = 64
+MOST_APART = 607
 CACHE = 300_000
 
 _rng = np.random.Generator(np.random.PCG64(20240))
@@ -161,8 +161,8 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def _across(members: DataFrame, docs: DataFrame) -> DataFrame:
-    """Pairs (a, b) to try in buckets with several components. members: key, id, n, comp."""
+def _across(members: DataFrame, docs: DataFrame, nodes: DataFrame, tried: DataFrame) -> DataFrame:
+    """Pairs (a, b) to confirm in buckets with several components, without those tried. members: key, id, n, comp."""
     per = members.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("rows"))
     keys = per.groupBy("key").agg(F.sum("rows").alias("rows"), F.max(F.struct("rows", "comp")).alias("top"), F.count(F.lit(1)).alias("comps")).filter("comps > 1")
     keys = store.keep(keys.select("key", "rows", F.col("top.comp").alias("top")), "split-buckets")
@@ -171,7 +171,7 @@ def _across(members: DataFrame, docs: DataFrame) -> DataFrame:
     ends = [F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")]
     small = open_.filter(F.col("rows") <= SMALL)
     odd = lambda df: df.filter(F.col("comp") != F.col("top"))
-    out = odd(small).alias("x").join(small.alias("y"), (F.col("x.key") == F.col("y.key")) & pair).select(*ends)
+    out = alike(odd(small).alias("x").join(small.alias("y"), (F.col("x.key") == F.col("y.key")) & pair).select(*ends).distinct().join(tried, ["a", "b"], "left_anti"), nodes)
     large = store.keep(open_.filter(F.col("rows") > SMALL), "large")
     if not large.isEmpty():
         # Sketches are compared inside the join, and a pair that meets in several buckets comes from the first of them.
@@ -180,7 +180,7 @@ def _across(members: DataFrame, docs: DataFrame) -> DataFrame:
         apart = sum((F.bit_count(F.col(f"x.s{k}").bitwiseXOR(F.col(f"y.s{k}"))) for k in range(SKETCH)), F.lit(0))
         fits = pair & (apart <= MOST_APART) & (F.element_at(F.array_intersect("x.keys", "y.keys"), 1) == F.col("x.key"))
         out = out.union(odd(able).alias("x").join(able.alias("y"), (F.col("x.key") == F.col("y.key")) & fits).select(*ends))
-    return out.distinct()
+    return out.distinct().join(tried, ["a", "b"], "left_anti")
 
 
 def sketched(docs: DataFrame) -> DataFrame:
@@ -191,8 +191,8 @@ def sketched(docs: DataFrame) -> DataFrame:
             rows = np.empty((batch.num_rows, SKETCH), np.int64)
             for i, t in enumerate(batch.column(1).to_pylist()):
                 s, least = shingles(t), np.full(64 * SKETCH, 2**64 - 1, np.uint64)
-                for at in range(0, len(s), 256):
-                    np.minimum(least, (_SA * s[None, at : at + 256] + _SB).min(1), out=least)
+                for at in range(0, len(s), 64):
+                    np.minimum(least, (_SA * s[None, at : at + 64] + _SB).min(1), out=least)
                 rows[i] = np.packbits((_mix(least >> np.uint64(20)) & np.uint64(1)).astype(np.uint8)).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *[pa.array(rows[:, k]) for k in range(SKETCH)]], ["id", "keys", *[f"s{k}" for k in range(SKETCH)]])
 
@@ -216,7 +216,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     links = store.keep(confirmed(pairs, texts), "links")
     comps = store.keep(components(links), "components")
     placed = member.select("key", "id", "n").join(comps, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("comp"))
-    more = store.keep(alike(_across(store.keep(placed, "placed"), texts).join(pairs, ["a", "b"], "left_anti"), nodes), "more-pairs")
+    more = store.keep(_across(store.keep(placed, "placed"), texts, nodes, pairs), "more-pairs")
     if not more.isEmpty():
         found = store.keep(confirmed(more, texts), "more-links")
         if not found.isEmpty():
