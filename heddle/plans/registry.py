@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from heddle.plans import graph_queries
+
 FLAGSHIP = "leverage_queue"
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+QUERIES: dict = {**graph_queries.QUERIES}
+ORACLE: dict[str, str] = {**graph_queries.ORACLE}
