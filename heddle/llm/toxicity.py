@@ -63,7 +63,7 @@ def swapped(text: str) -> str | None:
         words = sentence.split()
         if any(_EDGE.sub("", w) in SWAP for w in words):
             hit = True
-            sentence = " ".join(SWAP.get(_EDGE.sub("", w), w) for w in words) + " "
+            sentence = " " + " ".join(SWAP.get(_EDGE.sub("", w), w) for w in words) + " "
         out.append(sentence)
     return "".join(out) if hit else None
 
