@@ -143,6 +143,8 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     The larger id's text meets the pair first, so that a pivot's text is never repeated in a shuffle.
     """
+    ids = store.keep(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "pair-ids")
+    texts, _ = store.split(texts, "id", ids)
     with_b = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
     both = with_b.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
 
@@ -232,14 +234,27 @@ def _repeats(slim: DataFrame, groups: DataFrame) -> bool:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs without near-duplicates: of each component the row with the smallest doc_id stays (of equal ids the first)."""
+    """docs without near-duplicates: of each component the row with the smallest doc_id stays.
+
+    Where ids are null or repeated, rows without an id are nodes of their own, and of equal ids the first row stays.
+    """
+    spark, mark = docs.sparkSession, store.mark()
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    if store.keyed(docs)[1]:
+        gone = store.keep(near_duplicates(docs).filter("id <> component").select("id"), "near-gone")
+        store.release(spark, mark, gone)
+        doubtful, sure = store.split(docs, "doc_id", gone)
+        lone = doubtful.join(gone.select(F.col("id").alias("_gone")), F.col("doc_id") == F.col("_gone"), "left_anti")
+        return sure.select(*columns).union(lone.select(*columns))
     row, node = store.fresh_name(docs, "_row"), store.fresh_name(docs, "_node")
     named = docs.withColumn(row, F.monotonically_increasing_id()).withColumn(node, F.coalesce(F.col("doc_id").cast("long"), -1 - F.col(row)))
     named = store.keep(named, "near-rows")
     comp = near_duplicates(named, doc_id=node)
     stay = store.keep(comp.filter("id = component").select("id").distinct(), "stay")
     first = named.select(node, row).join(stay.withColumnRenamed("id", node), node, "left_semi").groupBy(node).agg(F.min(row).alias(row)).select(row)
-    return named.join(store.keep(first, "first"), row, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    first = store.keep(first, "first")
+    store.release(spark, mark, named, first)
+    return named.join(first, row, "left_semi").select(*columns)
 
 
 def op2_near_duplicates(spark, sf_dir: str) -> DataFrame:

@@ -93,13 +93,18 @@ def copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source:
 def mixed(docs: DataFrame) -> DataFrame:
     """The documents of the mix, repeats as rows of their own, with the columns of docs.
 
-    Texts are not shuffled by source: the copies of each row are found on slim rows named by a row key that is written
-    with the documents, and joined back on it.
+    Copies are counted on slim rows and met with the texts once, on doc_id; where ids are null or repeated, rows are
+    written with a number of their own first.
     """
-    row = store.fresh_name(docs, "_row")
-    named = store.keep(docs.withColumn(row, F.monotonically_increasing_id()), "mix-rows")
-    n = copies(named, carry=(row,)).select(row, "n_copies").filter("n_copies > 0")
-    out = named.join(n.select(F.col(row), F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_copies"))).alias("_copy")).drop("_copy"), row)
+    if store.keyed(docs)[1]:
+        named, row = docs, "doc_id"
+        n = copies(docs).select(F.col("doc_id").alias("_key"), "n_copies")
+    else:
+        row = store.fresh_name(docs, "_row")
+        named = store.keep(docs.withColumn(row, F.monotonically_increasing_id()), "mix-rows")
+        n = copies(named, carry=(row,)).select(F.col(row).alias("_key"), "n_copies")
+    each = n.filter("n_copies > 0").select("_key", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_copies"))).alias("_copy"))
+    out = named.join(each, F.col(f"`{row}`").cast("long") == F.col("_key"))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

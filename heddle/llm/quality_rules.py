@@ -117,11 +117,24 @@ def with_verdicts(df: DataFrame, q: str = "quality", source: str = "source", out
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The documents that the rules and their host's verdict keep, with their columns. The measures are written once."""
+    """The documents that the rules and their host's verdict keep, with their columns.
+
+    Measures are written before any verdict is read off them: a condition on them must not be pushed into their own
+    making. With unique ids only slim rows are written, and only texts whose id may be a rejected one are shuffled.
+    """
+    spark, mark = docs.sparkSession, store.mark()
+    columns = [F.col(f"`{c}`") for c in docs.columns]
     q = store.fresh_name(docs, "_quality")
     kept = store.fresh_name(docs, "_kept")
-    table = store.keep(measured(docs, out=q), "quality")
-    return with_verdicts(table, q=q, out=kept).filter(F.col(kept)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    if not store.keyed(docs)[1]:
+        table = store.keep(measured(docs, out=q), "quality")
+        return with_verdicts(table, q=q, out=kept).filter(F.col(kept)).select(*columns)
+    slim = store.keep(measured(docs, out=q).select("doc_id", "source", q), "quality")
+    gone = store.keep(with_verdicts(slim, q=q, out=kept).filter(~F.col(kept)).select(F.col("doc_id").cast("long").alias("id")), "rejected")
+    store.release(spark, mark, gone)
+    doubtful, sure = store.split(docs, "doc_id", gone)
+    good = doubtful.join(gone.select(F.col("id").alias("_gone")), F.col("doc_id") == F.col("_gone"), "left_anti")
+    return sure.select(*columns).union(good.select(*columns))
 
 
 def op10_quality_rules(spark, sf_dir: str) -> DataFrame:

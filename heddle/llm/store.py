@@ -34,11 +34,57 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Paths of the tables that keep() wrote, so that release() can delete those of no more use.
+_paths: list[str] = []
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it again: lineage is cut, a lost executor costs nothing."""
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _paths.append(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._heddle_path = path
+    return out
+
+
+def mark() -> int:
+    """Where release() is to begin."""
+    return len(_paths)
+
+
+def release(spark: SparkSession, since: int, *needed: DataFrame) -> None:
+    """Deletes the tables that were kept since a mark, but for those needed."""
+    stay = {getattr(df, "_heddle_path", None) for df in needed}
+    for path in _paths[since:]:
+        if path not in stay:
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    _paths[since:] = [p for p in _paths[since:] if p in stay]
+
+
+#: Ids are told apart by so many hash buckets before they are met exactly; the bucket table is broadcast, and this is
+#: the most rows that it can have.
+BUCKETS = 1 << 20
+
+
+def split(df: DataFrame, key: str, ids: DataFrame, id: str = "id") -> tuple[DataFrame, DataFrame]:
+    """(rows of df whose key may be in ids, all other rows). ids: a written table.
+
+    Only the first part has to be shuffled to meet ids; it holds the rows that do meet and few others while there are
+    fewer ids than BUCKETS, and is right for any number.
+    """
+    name = fresh_name(df, "_bucket")
+    bucket = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(BUCKETS)).alias(name)
+    table = F.broadcast(ids.select(bucket(id)).distinct())
+    with_bucket = df.select("*", bucket(f"`{key}`"))
+    return with_bucket.join(table, name, "left_semi").drop(name), with_bucket.join(table, name, "left_anti").drop(name)
+
+
+def keyed(docs: DataFrame, doc_id: str = "doc_id") -> tuple[DataFrame, str | None]:
+    """docs and its key column, if doc_id is never null and never repeated; else None for the key."""
+    ids = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("k"))
+    return docs, doc_id if ids.filter("k > 1 or id is null").isEmpty() else None
 
 
 def ship(spark: SparkSession) -> None:

@@ -35,6 +35,8 @@ MIN_CHAIN = MIN_WORDS - 2 * (WINDOW - 1)
 #: Words that are looked at past a chain's ends, and their losses before that is given up.
 REACH = 64
 DROP = 8
+SKIP = 4
+_SKIPS = sorted(((a, b) for a in range(SKIP + 1) for b in range(SKIP + 1) if a or b), key=lambda s: (max(s), sum(s), s))
 _KPLACE = np.concatenate((_PLACE, _PLACE[:1] * np.uint64(0x2545F4914F6CDD1D) | np.uint64(1)))
 
 
@@ -191,27 +193,37 @@ def _lcs(x: np.ndarray, y: np.ndarray) -> int:
     return int(row[-1])
 
 
-def _reach(x: np.ndarray, y: np.ndarray) -> tuple[int, int]:
-    """How far two sides go on alike, and the equal words of that: one for an equal word, two off for another."""
-    n = min(len(x), len(y))
-    if not n:
-        return 0, 0
-    same = x[:n] == y[:n]
-    total = np.cumsum(np.where(same, 1, -2))
-    stop = np.flatnonzero(np.maximum.accumulate(np.maximum(total, 0)) - total > DROP)
-    total = total[: stop[0]] if len(stop) else total
-    if not len(total) or total.max() <= 0:
-        return 0, 0
-    far = int(total.argmax()) + 1
-    return far, int(same[:far].sum())
+def _reach(x: list[int], y: list[int]) -> tuple[int, int, int]:
+    """How far two sides go on alike, and the equal words of that.
+
+    An equal word gains one; where words differ, the nearest place where three in a row are equal again (up to SKIP words
+    on, on either side) costs two a word skipped. It ends where there is none, or DROP below the best.
+    """
+    i = j = score = equal = 0
+    best = (0, 0, 0, 0)
+    while i < len(x) and j < len(y):
+        if x[i] == y[j]:
+            i, j, score, equal = i + 1, j + 1, score + 1, equal + 1
+            if score > best[0]:
+                best = (score, i, j, equal)
+            continue
+        for a, b in _SKIPS:
+            if x[i + a : i + a + 3] == y[j + b : j + b + 3] and i + a + 3 <= len(x) and j + b + 3 <= len(y):
+                i, j, score = i + a, j + b, score - 2 * max(a, b)
+                break
+        else:
+            break
+        if best[0] - score > DROP:
+            break
+    return best[1:]
 
 
 def aligned(x: np.ndarray, y: np.ndarray, y_from: int, segments: list[int]) -> tuple[int, int, int, int, int] | None:
     """(start, end, ref start, ref end, equal words) of a chain; y: the anchor's word hashes from place y_from on."""
     s = np.array(segments, np.int64).reshape(-1, 4)
     s[:, 2:] -= y_from
-    left, gain_left = _reach(x[: s[0, 0]][::-1][:REACH], y[: s[0, 2]][::-1][:REACH])
-    right, gain_right = _reach(x[s[-1, 1] :][:REACH], y[s[-1, 3] :][:REACH])
+    left, ref_left, gain_left = _reach(x[: s[0, 0]][::-1][:REACH].tolist(), y[: s[0, 2]][::-1][:REACH].tolist())
+    right, ref_right, gain_right = _reach(x[s[-1, 1] :][:REACH].tolist(), y[s[-1, 3] :][:REACH].tolist())
     equal = gain_left + gain_right
     p, q = int(s[0, 0]), int(s[0, 2])
     for p0, p1, q0, q1 in s.tolist():
@@ -220,7 +232,7 @@ def aligned(x: np.ndarray, y: np.ndarray, y_from: int, segments: list[int]) -> t
         if p1 > p0 + over:
             equal += int((x[p0 + over : p1] == y[q0 + over : q1]).sum())
             p, q = p1, q1
-    start, end, ref, ref_end = int(s[0, 0]) - left, p + right, int(s[0, 2]) - left, q + right
+    start, end, ref, ref_end = int(s[0, 0]) - left, p + right, int(s[0, 2]) - ref_left, q + ref_right
     if end - start < MIN_WORDS or equal < MIN_IDENTITY * max(end - start, ref_end - ref):
         return None
     return start, end, ref + y_from, ref_end + y_from, equal
@@ -270,6 +282,9 @@ def passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
             columns = list(zip(*rows, strict=True)) if rows else [()] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [x.split()[0] for x in SPANS.split(", ")])
 
+    # Only the texts that a chain names are shuffled.
+    ids = store.keep(chains.select(F.explode(F.array("id", "ref_id")).alias("id")).distinct(), "chain-ids")
+    docs, _ = store.split(docs, "id", ids)
     with_ref = chains.join(docs.select(F.col("id").alias("ref_id"), F.col("text").alias("body")), "ref_id").select("id", "ref_id", "segments", "body")
     with_words = with_ref.mapInArrow(cut, "id long, ref_id long, segments array<int>, ref_from int, ref_words binary")
     both = with_words.join(docs.select("id", F.col("text").alias("body")), "id").select("id", "ref_id", "segments", "ref_from", "ref_words", "body")
@@ -298,13 +313,19 @@ def removed(docs: DataFrame) -> DataFrame:
 
     Documents of which no word is left go; those without a cut stay as they are, empty ones too.
     """
-    spark = docs.sparkSession
-    row = store.fresh_name(docs, "_row")
-    named = store.keep(docs.withColumn(row, F.monotonically_increasing_id()), "substring-rows")
+    spark, mark = docs.sparkSession, store.mark()
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    if store.keyed(docs)[1]:
+        named, row = docs, "doc_id"
+    else:
+        row = store.fresh_name(docs, "_row")
+        named = store.keep(docs.withColumn(row, F.monotonically_increasing_id()), "substring-rows")
     spans = passages(named, doc_id=row)
-    per = spans.groupBy(F.col("id").alias(row)).agg(F.collect_list(F.struct("start", "end")).alias("_spans"))  # no more than a text has seeds
-    columns = [f"`{c}`" for c in docs.columns]
-    hit = named.join(store.keep(per, "cuts"), row)
+    per = spans.groupBy("id").agg(F.collect_list(F.struct("start", "end")).alias("_spans"))  # no more than a text has seeds
+    per = store.keep(per, "cuts")
+    store.release(spark, mark, named, per)
+    doubtful, sure = store.split(named, row, per)
+    met = doubtful.join(per.select(F.col("id").alias("_cut_id"), "_spans"), F.col(f"`{row}`").cast("long") == F.col("_cut_id"), "left").select(*columns, "_spans")
     place, size = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
     def run(batches):
@@ -316,9 +337,8 @@ def removed(docs: DataFrame) -> DataFrame:
             yield cut.filter(pa.array([bool(t.strip(store.BLANKS)) for t in texts], pa.bool_()))
 
     store.small_batches(spark)
-    changed = hit.select(*columns, "_spans").mapInArrow(run, docs.select(*columns).schema)
-    rest = named.join(per.select(row), row, "left_anti").select(*columns)
-    return rest.unionByName(changed)
+    changed = met.filter("_spans is not null").mapInArrow(run, docs.select(*columns).schema)
+    return sure.select(*columns).union(met.filter("_spans is null").select(*columns)).union(changed)
 
 
 def op8_repeated_passages(spark, sf_dir: str) -> DataFrame:
