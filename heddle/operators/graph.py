@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from heddle.sources.tables import settled
 
@@ -189,7 +190,7 @@ def greedy_acyclic(edges: DataFrame, group: str, order: list[str]) -> DataFrame:
         out["kept"] = kept
         return out
 
-    return edges.groupBy(group).applyInPandas(run, edges.schema.add("kept", "boolean"))
+    return edges.groupBy(group).applyInPandas(run, StructType([*edges.schema.fields, StructField("kept", BooleanType())]))
 
 
 def in_degree_over(edges: DataFrame, limit: int = 8) -> DataFrame:

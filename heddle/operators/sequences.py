@@ -27,10 +27,10 @@ def sequence_gaps(df: DataFrame, key: str, number: str) -> DataFrame:
 
     Found by stepping over neighbours, so no list of numbers is gathered in one row.
     """
-    per = df.filter(F.col(number).isNotNull()).groupBy(key, number).agg(F.count(F.lit(1)).alias("k"))
+    per = df.filter(F.col(number).isNotNull()).groupBy(key, number).agg(F.count(F.lit(1)).alias("_rows"))
     before = F.coalesce(F.lag(number).over(Window.partitionBy(key).orderBy(number)), F.lit(0))
     step = per.withColumn("_skip", F.greatest(F.col(number) - before - 1, F.lit(0)))
-    return step.groupBy(key).agg(F.sum("_skip").cast("long").alias("n_missing"), F.count(F.when(F.col("k") > 1, 1)).alias("n_duplicated")).filter("n_missing > 0 or n_duplicated > 0")
+    return step.groupBy(key).agg(F.sum("_skip").cast("long").alias("n_missing"), F.count(F.when(F.col("_rows") > 1, 1)).alias("n_duplicated")).filter("n_missing > 0 or n_duplicated > 0")
 
 
 def restarts(df: DataFrame, key: str, order: list[str], number: str, out: str = "sequence") -> DataFrame:
