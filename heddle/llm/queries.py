@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, html_tree, lz, minhash, mixing, quality_rules, substring, token_store, toxicity, url_filters
+from . import bpe, html_tree, lz, minhash, mixing, oracles, quality_rules, substring, token_store, toxicity, url_filters
 
 QUERIES = {
     "op1_url_filters": url_filters.op1_url_filters,
@@ -17,6 +17,4 @@ QUERIES = {
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
 
-ORACLE: dict[str, str] = {
-    "op1_url_filters": url_filters.SQL,
-}
+ORACLE: dict[str, str] = oracles.ORACLE
