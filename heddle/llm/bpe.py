@@ -118,6 +118,8 @@ def piece_starts(sym: np.ndarray) -> np.ndarray:
 
 def slices(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
     """All pieces in order, the number of pieces of each text, and each piece's character offset in its text."""
+    if not texts:
+        return [], np.empty(0, np.int64), np.empty(0, np.int64)
     big = "\0".join(texts) + "\0"
     codes = np.frombuffer(big.encode("utf-32-le", "surrogatepass"), np.uint32)
     lengths = np.fromiter(map(len, texts), np.int64, len(texts))
