@@ -30,13 +30,16 @@ def inference_edges(edges: DataFrame, live: DataFrame | None = None) -> DataFram
     return out
 
 
-def closure(edges: DataFrame, rounds: int = 200) -> DataFrame:
-    """(a, p, hops): p is reachable from a, in least hops. Semi-naive: a round joins only what was new in the last."""
+def closure(edges: DataFrame, rounds: int = 200, loops: bool = False) -> DataFrame:
+    """(a, p, hops): p is reachable from a, in least hops. Semi-naive: a round joins only what was new in the last.
+
+    loops: vertices on a cycle reach themselves, and are listed too.
+    """
     step = settled(edges.select("a", "p").filter("a <> p").distinct())
     reach = fresh = step.withColumn("hops", F.lit(1))
     parts = [fresh]
     for hops in range(2, rounds + 2):
-        nxt = fresh.select("a", F.col("p").alias("m")).join(step.select(F.col("a").alias("m"), "p"), "m").select("a", "p").filter("a <> p").distinct()
+        nxt = fresh.select("a", F.col("p").alias("m")).join(step.select(F.col("a").alias("m"), "p"), "m").select("a", "p").filter(F.lit(loops) | (F.col("a") != F.col("p"))).distinct()
         fresh = settled(nxt.join(reach, ["a", "p"], "left_anti").withColumn("hops", F.lit(hops)))
         if fresh.isEmpty():
             return reach
@@ -83,9 +86,9 @@ def redundancy(edges: DataFrame) -> DataFrame:
     On an acyclic graph another way starts at another direct prerequisite m and goes on from m to p; a cyclic one fails.
     """
     e = settled(edges.select("a", "p").filter("a <> p").distinct())
-    if not cycle_core(e).isEmpty():
+    reach = settled(closure(e, loops=True))
+    if not reach.filter("a = p").isEmpty():
         raise ValueError("transitive redundancy needs an acyclic graph")
-    reach = closure(e)
     ways = e.join(e.select("a", F.col("p").alias("m")), "a").filter("m <> p").join(reach.select(F.col("a").alias("m"), "p", "hops"), ["m", "p"])
     return e.join(ways.groupBy("a", "p").agg((F.min("hops") + 1).alias("alt_hops")), ["a", "p"], "left")
 
