@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from . import store
 
 
+#: Edges that a task of a step may well hold; steps of few edges run in few tasks, whatever the session's partitions.
+TASK_EDGES = 200_000
+
+
 def _mark(edges: DataFrame) -> tuple:
     r = edges.agg(F.count(F.lit(1)), F.sum("lo"), F.sum("hi")).first()
     return tuple(r)
@@ -25,14 +29,15 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 100)
     for _ in range(rounds):
         if not mark[0]:
             break
-        least = store.keep(now.groupBy("hi").agg(F.min("lo").alias("m")), "least")
+        tasks = 1 + 2 * mark[0] // TASK_EDGES
+        least = store.keep(now.groupBy("hi").agg(F.min("lo").alias("m")).coalesce(tasks), "least")
         # Small star: what lies below a node meets at the least of it.
         meet = now.join(least, "hi")
-        small = store.keep(meet.select(F.col("lo").alias("hi"), F.col("m").alias("lo")).filter("hi <> lo").union(least.select("hi", F.col("m").alias("lo"))).distinct(), "small-star")
+        small = store.keep(meet.select(F.col("lo").alias("hi"), F.col("m").alias("lo")).filter("hi <> lo").union(least.select("hi", F.col("m").alias("lo"))).distinct().coalesce(tasks), "small-star")
         # Large star: what lies above a node moves to the least that the node knows.
-        least = store.keep(small.groupBy("hi").agg(F.min("lo").alias("m")), "least")
+        least = store.keep(small.groupBy("hi").agg(F.min("lo").alias("m")).coalesce(tasks), "least")
         up = small.join(least.select(F.col("hi").alias("lo"), "m"), "lo", "left")
-        now = store.keep(up.select("hi", F.coalesce("m", "lo").alias("lo")).distinct(), "large-star")
+        now = store.keep(up.select("hi", F.coalesce("m", "lo").alias("lo")).distinct().coalesce(tasks), "large-star")
         before, mark = mark, _mark(now)
         if mark == before:
             break
