@@ -4,7 +4,8 @@ Every text gives its minimisers (the least 6-word hash of each 16 in a row), so
 seed's first occurrence (smallest id, then place) is its anchor, and all other occurrences are joined to that one: a
 star, so a passage that stands in very many documents makes no pairs among them. The matches of a document with one
 anchor document are merged along diagonals, chained in order with linear gap costs by prefix maxima in a Fenwick tree,
-extended and aligned on the words, and kept if they cover `MIN_WORDS` words with `MIN_IDENTITY` of them equal.
+extended and aligned on the words, and kept if they cover `MIN_WORDS` words with `MIN_IDENTITY` of them equal; of a chain
+that is less alike the parts that are kept.
 
 A span names the later copy; the anchor's copy is named beside it. Words are `[^\\x20\\x09-\\x0D]+` with A-Z in lower
 case, and whole texts are read. Defined cases: null, empty and short texts share nothing; rows with a null id are not
@@ -218,24 +219,79 @@ def _reach(x: list[int], y: list[int]) -> tuple[int, int, int]:
     return best[1:]
 
 
-def aligned(x: np.ndarray, y: np.ndarray, y_from: int, segments: list[int]) -> tuple[int, int, int, int, int] | None:
-    """(start, end, ref start, ref end, equal words) of a chain; y: the anchor's word hashes from place y_from on."""
+def _units(x: np.ndarray, y: np.ndarray, s: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """Runs of K equal words and more in a chain's segments (p, p_end, q, q_end), in order and without overlaps."""
+    out: list[tuple[int, int, int, int]] = []
+    p = q = 0
+    for p0, p1, q0, q1 in s.tolist():
+        same = np.concatenate(([False], x[p0:p1] == y[q0:q1], [False]))
+        edges = np.flatnonzero(same[1:] != same[:-1]).tolist()
+        for a, b in zip(edges[::2], edges[1::2], strict=True):
+            over = max(0, p - p0 - a, q - q0 - a)
+            if b - a >= K and b > a + over:
+                out.append((p0 + a + over, p0 + b, q0 + a + over, q0 + b))
+                p, q = p0 + b, q0 + b
+    return out
+
+
+def aligned(x: np.ndarray, y: np.ndarray, y_from: int, segments: list[int]) -> list[tuple[int, int, int, int, int]]:
+    """(start, end, ref start, ref end, equal words) of each passage of a chain; y: the anchor's word hashes from y_from on.
+
+    A chain that is too unlike as a whole is cut into its longest part that is alike enough and what lies on either side
+    of that, and each is looked at by itself.
+    """
     s = np.array(segments, np.int64).reshape(-1, 4)
     s[:, 2:] -= y_from
-    left, ref_left, gain_left = _reach(x[: s[0, 0]][::-1][:REACH].tolist(), y[: s[0, 2]][::-1][:REACH].tolist())
-    right, ref_right, gain_right = _reach(x[s[-1, 1] :][:REACH].tolist(), y[s[-1, 3] :][:REACH].tolist())
-    equal = gain_left + gain_right
-    p, q = int(s[0, 0]), int(s[0, 2])
-    for p0, p1, q0, q1 in s.tolist():
-        over = max(0, p - p0, q - q0)
-        equal += _lcs(x[p:p0], y[q:q0]) if p0 > p and q0 > q else 0
-        if p1 > p0 + over:
-            equal += int((x[p0 + over : p1] == y[q0 + over : q1]).sum())
-            p, q = p1, q1
-    start, end, ref, ref_end = int(s[0, 0]) - left, p + right, int(s[0, 2]) - ref_left, q + ref_right
-    if end - start < MIN_WORDS or equal < MIN_IDENTITY * max(end - start, ref_end - ref):
-        return None
-    return start, end, ref + y_from, ref_end + y_from, equal
+    units = _units(x, y, s)
+    if not units:
+        return []
+    u = np.array(units, np.int64)
+    between = [_lcs(x[a[1] : b[0]], y[a[3] : b[2]]) for a, b in zip(units, units[1:])]
+    before = np.concatenate(([0], np.cumsum(u[:-1, 1] - u[:-1, 0] + between)))
+    through = before + u[:, 1] - u[:, 0]
+
+    def whole(i: int, j: int) -> tuple[int, int, int, int, int] | None:
+        p, q, p_end, q_end = units[i][0], units[i][2], units[j][1], units[j][3]
+        left, ref_left, gain_left = _reach(x[max(0, p - REACH) : p][::-1].tolist(), y[max(0, q - REACH) : q][::-1].tolist())
+        right, ref_right, gain_right = _reach(x[p_end : p_end + REACH].tolist(), y[q_end : q_end + REACH].tolist())
+        start, end, ref, ref_end = p - left, p_end + right, q - ref_left, q_end + ref_right
+        equal = int(through[j] - before[i]) + gain_left + gain_right
+        if end - start < MIN_WORDS or equal < MIN_IDENTITY * max(end - start, ref_end - ref):
+            return None
+        return start, end, ref + y_from, ref_end + y_from, equal
+
+    def longest(i: int, j: int) -> tuple[int, int]:
+        open_x, open_y = before - MIN_IDENTITY * u[:, 0], before - MIN_IDENTITY * u[:, 2]
+        shut_x, shut_y = through - MIN_IDENTITY * u[:, 1], through - MIN_IDENTITY * u[:, 3]
+        best = (-1, i, i)
+        for a in range(i, j + 1):
+            if u[j, 1] - u[a, 0] <= best[0]:
+                break
+            b = a + int(np.flatnonzero((shut_x[a : j + 1] >= open_x[a]) & (shut_y[a : j + 1] >= open_y[a]))[-1])
+            best = max(best, (int(u[b, 1] - u[a, 0]), a, b), key=lambda t: t[0])
+        return best[1:]
+
+    out, todo = [], [(0, len(units) - 1)]
+    while todo:
+        i, j = todo.pop()
+        span = whole(i, j)
+        if span is None and i < j:
+            a, b = longest(i, j)
+            if (a, b) != (i, j):
+                span = whole(a, b)
+            todo += [part for part in ((i, a - 1), (b + 1, j)) if part[0] <= part[1]]
+        if span:
+            out.append(span)
+    return uncontained(out)
+
+
+def uncontained(spans: list[tuple[int, int, int, int, int]]) -> list[tuple[int, int, int, int, int]]:
+    """Spans of one pair of documents without those that lie in another one on both sides."""
+    out: list[tuple[int, int, int, int, int]] = []
+    for s in sorted(spans, key=lambda s: (s[0] - s[1], s)):
+        if not any(t[0] <= s[0] and s[1] <= t[1] and t[2] <= s[2] and s[3] <= t[3] for t in out):
+            out.append(s)
+    return sorted(out)
 
 
 SPANS = "id long, start int, end int, ref_id long, ref_start int, ref_end int, equal int"
@@ -275,8 +331,7 @@ def passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
             for i, ref, segments, begin, words, body in zip(*[batch.column(k).to_pylist() for k in range(6)], strict=True):
                 if i != last:
                     last, own = i, word_hashes(body).astype(np.uint32)
-                span = aligned(own, np.frombuffer(words, "<u4"), begin, segments)
-                if span:
+                for span in aligned(own, np.frombuffer(words, "<u4"), begin, segments):
                     rows.append((i, span[0], span[1], ref, *span[2:]))
             kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
             columns = list(zip(*rows, strict=True)) if rows else [()] * 7

@@ -96,6 +96,18 @@ def test_passages_are_found_and_cut(spark):
     assert passage.split()[60] not in left[150].split()[30:]
 
 
+def test_passages_with_unlike_words_between_are_all_found(spark):
+    rng = random.Random(21)
+    rows, want = [], set()
+    for k, (size, gap, ref_gap) in enumerate([(60, 0, 60), (60, 80, 0), (60, 0, 80), (100, 150, 0), (100, 100, 100), (200, 0, 500)]):
+        one, two = prose(rng, size), prose(rng, size)
+        rows += [(10 * k + 1, " ".join([one, prose(rng, ref_gap), two])), (10 * k + 2, " ".join([one, prose(rng, gap), two]))]
+        want |= {(10 * k + 2, 10 * k + 1, 0, size), (10 * k + 2, 10 * k + 1, size + gap, 2 * size + gap)}
+    got = substring.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    covered = {w for w in want if any((r["id"], r["ref_id"]) == w[:2] and r["start"] <= w[2] and w[3] <= r["end"] for r in got)}
+    assert covered == want and all(r["equal"] >= 0.75 * max(r["end"] - r["start"], r["ref_end"] - r["ref_start"]) for r in got)
+
+
 def test_substring_odd_and_empty(odd, none):
     out = substring.removed(odd)
     assert out.columns == odd.columns
