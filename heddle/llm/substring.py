@@ -184,14 +184,28 @@ def chains_of(matches: DataFrame) -> DataFrame:
 
 
 def _lcs(x: np.ndarray, y: np.ndarray) -> int:
-    """Words in common order; sides of over 400 words count as unlike."""
-    if not len(x) or not len(y) or max(len(x), len(y)) > 400:
-        return 0
-    row = np.zeros(len(y) + 1, np.int32)
-    for a in x:
-        new = np.maximum(row[1:], row[:-1] + (y == a))
-        row[1:] = np.maximum.accumulate(new)
-    return int(row[-1])
+    """Words in common order, exact for sides of any length: equal ends first, then a bit a word of the shorter side."""
+    n = min(len(x), len(y))
+    head = int(np.append(x[:n] != y[:n], True).argmax())
+    x, y, n = x[head:], y[head:], n - head
+    tail = int(np.append((x[len(x) - n :] != y[len(y) - n :])[::-1], True).argmax())
+    x, y = x[: len(x) - tail], y[: len(y) - tail]
+    if len(x) < len(y):
+        x, y = y, x
+    if not len(y):
+        return head + tail
+    kinds, at = np.unique(y, return_inverse=True)
+    order = np.argsort(at, kind="stable")
+    places = {}  # a frequent word's places as bits, which would take too much room for all words
+    for kind, where in zip(kinds.tolist(), np.split(order, np.flatnonzero(np.diff(at[order])) + 1), strict=True):
+        places[kind] = where.tolist() if len(where) <= 32 else sum(1 << i for i in where.tolist())
+    every = (1 << len(y)) - 1
+    left = every
+    for word in x[np.isin(x, kinds)].tolist():
+        where = places[word]
+        hit = left & (where if isinstance(where, int) else sum(1 << i for i in where))
+        left = ((left + hit) | (left - hit)) & every
+    return head + tail + len(y) - left.bit_count()
 
 
 def _reach(x: list[int], y: list[int]) -> tuple[int, int, int]:

@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from heddle.llm import components, minhash, substring
 from tests_llm_helpers import WORDS, prose
 
@@ -108,6 +110,29 @@ def test_passages_with_unlike_words_between_are_all_found(spark):
     assert covered == want and all(r["equal"] >= 0.75 * max(r["end"] - r["start"], r["ref_end"] - r["ref_start"]) for r in got)
 
 
+def test_words_in_common_order_at_any_length():
+    rng = np.random.default_rng(3)
+    for n, m, kinds in [(0, 5, 3), (7, 7, 2), (60, 90, 8), (450, 430, 30), (700, 650, 5)]:
+        x, y = rng.integers(0, kinds, n).astype(np.uint32), rng.integers(0, kinds, m).astype(np.uint32)
+        row = [0] * (m + 1)
+        for a in x:
+            last = row[:]
+            for j in range(m):
+                row[j + 1] = last[j] + 1 if y[j] == a else max(last[j + 1], row[j])
+        assert substring._lcs(x, y) == row[-1]
+    long = rng.integers(0, 4000, 30_000).astype(np.uint32)
+    assert substring._lcs(long, long.copy()) == 30_000
+
+
+def test_ends_around_a_long_middle_of_another_document(spark):
+    rng = random.Random(22)
+    middle, head, tail = prose(rng, 500), prose(rng, 300), prose(rng, 300)
+    copy = " ".join([head, middle, tail])
+    rows = [(1, prose(rng, 20) + " " + middle), (2, copy), (3, copy)]
+    got = substring.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert any((r["id"], r["ref_id"], r["start"], r["end"], r["equal"]) == (3, 2, 0, 1100, 1100) for r in got)
+
+
 def test_substring_odd_and_empty(odd, none):
     out = substring.removed(odd)
     assert out.columns == odd.columns
