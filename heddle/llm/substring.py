@@ -2,7 +2,9 @@
 
 Every text gives its minimisers (the least 6-word hash of each 16 in a row), so any 21 equal words share a seed. Each
 seed's first occurrence (smallest id, then place) is its anchor, and all other occurrences are joined to that one: a
-star, so a passage that stands in very many documents makes no pairs among them. The matches of a document with one
+star, so a passage that stands in very many documents makes no pairs among them. What that loses (a passage of pieces that
+stood in different documents before, or that repeats words) is found by windows: each `MIN_WORDS` words in a row, of texts
+where other documents have all seeds, are joined to their own first occurrence. The matches of a document with one
 anchor document are merged along diagonals, chained in order with linear gap costs by prefix maxima in a Fenwick tree,
 extended and aligned on the words, and kept if they cover `MIN_WORDS` words with `MIN_IDENTITY` of them equal; of a chain
 that is less alike the parts that are kept.
@@ -14,6 +16,7 @@ compared; equal ids are one document and share nothing with each other; an empty
 
 from __future__ import annotations
 
+import bisect
 import re
 
 import numpy as np
@@ -70,6 +73,85 @@ def seeds_of(docs: DataFrame) -> DataFrame:
     return docs.filter("id is not null").mapInArrow(run, "seed long, id long, pos int")
 
 
+def window_hashes(h: np.ndarray) -> np.ndarray:
+    """A hash of each MIN_WORDS words in a row, from hashes of 1, 2, 4, ... words; h: word hashes."""
+    out, size, power, width = None, 0, h, 1
+    pair = lambda a, b, by: _mix(a[: max(0, len(b) - by)] * np.uint64(0x9E3779B97F4A7C15) + b[by:][: len(a)])
+    while width <= MIN_WORDS:
+        if MIN_WORDS & width:
+            out, size = (power, width) if out is None else (pair(out, power, size), size + width)
+        power, width = pair(power, power, width), 2 * width
+    return out
+
+
+def windows_of(marked: DataFrame) -> DataFrame:
+    """seed, id, pos of every MIN_WORDS words in a row that other documents may have; marked: id, places, text.
+
+    places: of the document's minimisers that another document has too. A run of words that another document has may bear
+    others only at its ends, where a minimiser is chosen by words outside of the run.
+    """
+
+    def run(batches):
+        for batch in batches:
+            keys, ids, places = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int32)]
+            for i, shared, text in zip(*[batch.column(k).to_pylist() for k in range(3)], strict=True):
+                h = word_hashes(text)
+                if len(h) < MIN_WORDS:
+                    continue
+                at = minimisers(h)[1]
+                own = np.zeros(len(h) + 1, np.int32)
+                own[at[~np.isin(at, shared)] + 1] = 1
+                own = np.cumsum(own)
+                begin = np.arange(len(h) - MIN_WORDS + 1)
+                begin = begin[own[begin + MIN_WORDS - K - WINDOW + 2] == own[begin + WINDOW - 1]]
+                keys.append(window_hashes(h)[begin].view(np.int64))
+                ids.append(np.full(len(begin), i, np.int64))
+                places.append(begin.astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, ids, places)], ["seed", "id", "pos"])
+
+    return marked.select("id", "places", "text").mapInArrow(run, "seed long, id long, pos int")
+
+
+def met_first(seeds: DataFrame) -> DataFrame:
+    """id, pos, ref_id, ref_pos of every seed that two documents have and its first occurrence, which meets itself too.
+
+    A task sees the occurrences of a seed in their order and holds those of its first document at most.
+    """
+    fields = ["id", "pos", "ref_id", "ref_pos"]
+
+    def run(batches):
+        held, told = [np.empty(0, np.int64)] * 3, False  # a seed that may go on; whether its first row is out already
+
+        def done(parts, told):
+            seed, ids, pos = [np.concatenate(x) for x in zip(*parts, strict=True)]
+            begins = np.flatnonzero(np.concatenate(([True], seed[1:] != seed[:-1])))
+            ends = np.append(begins[1:], len(seed)) - 1
+            shared = ids[begins] != ids[ends]
+            group = np.repeat(np.arange(len(begins)), ends - begins + 1)
+            keep = shared[group]
+            keep[0] &= not told
+            first = begins[group][keep]
+            out = pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(pos[keep].astype(np.int32)), pa.array(ids[first]), pa.array(pos[first].astype(np.int32))], fields)
+            last, told = int(begins[-1]), bool(shared[-1])
+            to = last + 1 if told else len(seed)
+            return out, [x[last:to] for x in (seed, ids, pos)], told
+
+        parts, n = [], 0
+        for batch in batches:
+            parts.append([batch.column(k).to_numpy().astype(np.int64) for k in range(3)])
+            n += batch.num_rows
+            if n >= 20_000:
+                out, held, told = done([held, *parts], told)
+                parts, n = [], 0
+                yield out
+        if n:
+            yield done([held, *parts], told)[0]
+
+    parts = max(1, int(seeds.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = seeds.select("seed", "id", "pos").repartition(parts, "seed").sortWithinPartitions("seed", "id", "pos")
+    return dealt.mapInArrow(run, "id long, pos int, ref_id long, ref_pos int")
+
+
 class Fenwick:
     """Prefix maxima of (value, index)."""
 
@@ -133,27 +215,34 @@ def chained(segments: list[tuple[int, int, int, int]]) -> list[list[tuple[int, i
     return out
 
 
-def _segments(ref: np.ndarray, pos: np.ndarray, at: np.ndarray):
-    """Runs of seeds along a diagonal of one anchor document: ref, p, p_end, q, q_end; rows come sorted by (ref, pos - at, pos)."""
+def _segments(ref: np.ndarray, pos: np.ndarray, at: np.ndarray, size: np.ndarray):
+    """Runs of seeds along a diagonal of one anchor document: ref, p, p_end, q, q_end; rows come sorted by (ref, pos - at, pos).
+
+    Seeds of more than K words end where a seed of K words would that ends with them.
+    """
     diagonal = pos - at
     cut = np.flatnonzero((np.diff(ref) != 0) | (np.diff(diagonal) != 0) | (np.diff(pos) > JOIN_GAP)) + 1
-    begins, ends = np.concatenate(([0], cut)), np.append(cut, len(pos)) - 1
-    return ref[begins], pos[begins], pos[ends] + 1, at[begins], at[ends] + 1
+    begins = np.concatenate(([0], cut))
+    p_end = np.maximum.reduceat(pos + size, begins) - K + 1
+    return ref[begins], pos[begins], p_end, at[begins], p_end - diagonal[begins]
 
 
 def chains_of(matches: DataFrame) -> DataFrame:
-    """id, ref_id, segments (flat array of p, p_end, q, q_end in words) of matches (id, pos, ref_id, ref_pos).
+    """id, ref_id, chains (flat arrays of p, p_end, q, q_end in words) of matches (id, pos, ref_id, ref_pos, size in words).
 
-    A task sees a document's matches one after another; there are no more than the document has seeds.
+    A task sees a document's matches one after another; there are no more than the document has seeds and windows.
     """
 
-    def chains(i: int, ref, pos, at):
-        r, p, pe, q, qe = _segments(ref, pos, at)
+    def chains(i: int, ref, pos, at, size):
+        r, p, pe, q, qe = _segments(ref, pos, at, size)
         cuts = np.concatenate(([0], np.flatnonzero(np.diff(r)) + 1, [len(r)]))
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            found = []
             for chain in chained(list(zip(p[a:b].tolist(), pe[a:b].tolist(), q[a:b].tolist(), qe[a:b].tolist(), strict=True))):
                 if chain[-1][1] + K - 1 - chain[0][0] >= MIN_CHAIN:
-                    yield i, int(r[a]), [x for p0, p1, q0, q1 in chain for x in (p0, p1 + K - 1, q0, q1 + K - 1)]
+                    found.append([x for p0, p1, q0, q1 in chain for x in (p0, p1 + K - 1, q0, q1 + K - 1)])
+            if found:
+                yield i, int(r[a]), found
 
     def run(batches):
         held: list[np.ndarray] | None = None
@@ -161,13 +250,13 @@ def chains_of(matches: DataFrame) -> DataFrame:
         def done(parts):
             ids = parts[0]
             cuts = np.concatenate(([0], np.flatnonzero(np.diff(ids)) + 1, [len(ids)]))
-            rows = [c for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b > a for c in chains(int(ids[a]), parts[1][a:b], parts[2][a:b], parts[3][a:b])]
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.int32()))], ["id", "ref_id", "segments"])
+            rows = [c for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b > a for c in chains(int(ids[a]), *[x[a:b] for x in parts[1:]])]
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.list_(pa.int32())))], ["id", "ref_id", "chains"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            parts = [batch.column(k).to_numpy().astype(np.int64) for k in range(4)]
+            parts = [batch.column(k).to_numpy().astype(np.int64) for k in range(5)]
             if held is not None:
                 parts = [np.concatenate(x) for x in zip(held, parts, strict=True)]
             last = int(np.searchsorted(parts[0], parts[0][-1]))  # the last document may go on in the next batch
@@ -180,7 +269,7 @@ def chains_of(matches: DataFrame) -> DataFrame:
     spark = matches.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     dealt = matches.withColumn("diagonal", F.col("pos") - F.col("ref_pos")).repartition(parts, "id").sortWithinPartitions("id", "ref_id", "diagonal", "pos")
-    return dealt.select("id", "ref_id", "pos", "ref_pos").mapInArrow(run, "id long, ref_id long, segments array<int>")
+    return dealt.select("id", "ref_id", "pos", "ref_pos", "size").mapInArrow(run, "id long, ref_id long, chains array<array<int>>")
 
 
 def _lcs(x: np.ndarray, y: np.ndarray) -> int:
@@ -296,15 +385,21 @@ def aligned(x: np.ndarray, y: np.ndarray, y_from: int, segments: list[int]) -> l
             todo += [part for part in ((i, a - 1), (b + 1, j)) if part[0] <= part[1]]
         if span:
             out.append(span)
-    return uncontained(out)
+    return sorted(out)
 
 
-def uncontained(spans: list[tuple[int, int, int, int, int]]) -> list[tuple[int, int, int, int, int]]:
-    """Spans of one pair of documents without those that lie in another one on both sides."""
+def uncovered(spans: list[tuple[int, int, int, int, int]]) -> list[tuple[int, int, int, int, int]]:
+    """Spans of one pair of documents, longest first, without those whose words in the later copy are in spans before."""
     out: list[tuple[int, int, int, int, int]] = []
-    for s in sorted(spans, key=lambda s: (s[0] - s[1], s)):
-        if not any(t[0] <= s[0] and s[1] <= t[1] and t[2] <= s[2] and s[3] <= t[3] for t in out):
-            out.append(s)
+    runs: list[list[int]] = []  # what the spans taken cover, as runs that do not touch, in order
+    for s in sorted(set(spans), key=lambda s: (s[0] - s[1], -s[4], s)):
+        k = bisect.bisect_right(runs, s[0], key=lambda r: r[0])
+        if k and runs[k - 1][1] >= s[1]:
+            continue
+        out.append(s)
+        lo = k - 1 if k and runs[k - 1][1] >= s[0] else k
+        hi = bisect.bisect_right(runs, s[1], key=lambda r: r[0])
+        runs[lo:hi] = [[min([s[0]] + [r[0] for r in runs[lo:hi]]), max([s[1]] + [r[1] for r in runs[lo:hi]])]]
     return sorted(out)
 
 
@@ -317,11 +412,12 @@ def passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     store.ship(spark)
     store.small_batches(spark)
     docs = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
-    seeds = store.keep(seeds_of(docs), "seeds")
-    first = seeds.groupBy("seed").agg(F.min(F.struct("id", "pos")).alias("first"), F.max("id").alias("last")).filter("last <> first.id")
-    anchors = store.keep(first.select("seed", F.col("first.id").alias("ref_id"), F.col("first.pos").alias("ref_pos")), "anchors")
+    met = store.keep(met_first(seeds_of(docs)), "met")
+    marks = store.keep(met.groupBy("id").agg(F.collect_list("pos").alias("places")), "marks")  # no more than a text has seeds
+    marked = store.split(docs, "id", marks)[0].join(marks, "id")
+    windows = store.keep(met_first(windows_of(marked)).filter("id <> ref_id"), "windows")
     store.small_batches(spark, 10_000)
-    matches = seeds.join(anchors, "seed").filter("id <> ref_id").select("id", "pos", "ref_id", "ref_pos")
+    matches = met.filter("id <> ref_id").withColumn("size", F.lit(K)).union(windows.withColumn("size", F.lit(MIN_WORDS)))
     chains = store.keep(chains_of(matches), "chains")
     store.small_batches(spark)
 
@@ -330,22 +426,22 @@ def passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
         last, own = None, np.empty(0, np.uint64)
         for batch in batches:
             begins, words = [], []
-            for ref, segments, body in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            for ref, found, body in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 if ref != last:
                     last, own = ref, word_hashes(body)
-                begin = max(0, segments[2] - REACH)
-                begins.append(begin)
-                words.append(own[begin : segments[-1] + REACH].astype("<u4").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(begins, pa.int32()), pa.array(words, pa.binary())], ["id", "ref_id", "segments", "ref_from", "ref_words"])
+                begins.append([max(0, segments[2] - REACH) for segments in found])
+                words.append([own[begin : segments[-1] + REACH].astype("<u4").tobytes() for begin, segments in zip(begins[-1], found, strict=True)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(begins, pa.list_(pa.int32())), pa.array(words, pa.list_(pa.binary()))], ["id", "ref_id", "chains", "ref_from", "ref_words"])
 
     def align(batches):
         last, own = None, np.empty(0, np.uint32)
         for batch in batches:
             rows = []
-            for i, ref, segments, begin, words, body in zip(*[batch.column(k).to_pylist() for k in range(6)], strict=True):
+            for i, ref, found, begins, words, body in zip(*[batch.column(k).to_pylist() for k in range(6)], strict=True):
                 if i != last:
                     last, own = i, word_hashes(body).astype(np.uint32)
-                for span in aligned(own, np.frombuffer(words, "<u4"), begin, segments):
+                spans = [span for segments, begin, w in zip(found, begins, words, strict=True) for span in aligned(own, np.frombuffer(w, "<u4"), begin, segments)]
+                for span in uncovered(spans):
                     rows.append((i, span[0], span[1], ref, *span[2:]))
             kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
             columns = list(zip(*rows, strict=True)) if rows else [()] * 7
@@ -354,9 +450,9 @@ def passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     # Only the texts that a chain names are shuffled.
     ids = store.keep(chains.select(F.explode(F.array("id", "ref_id")).alias("id")).distinct(), "chain-ids")
     docs, _ = store.split(docs, "id", ids)
-    with_ref = chains.join(docs.select(F.col("id").alias("ref_id"), F.col("text").alias("body")), "ref_id").select("id", "ref_id", "segments", "body")
-    with_words = with_ref.mapInArrow(cut, "id long, ref_id long, segments array<int>, ref_from int, ref_words binary")
-    both = with_words.join(docs.select("id", F.col("text").alias("body")), "id").select("id", "ref_id", "segments", "ref_from", "ref_words", "body")
+    with_ref = chains.join(docs.select(F.col("id").alias("ref_id"), F.col("text").alias("body")), "ref_id").select("id", "ref_id", "chains", "body")
+    with_words = with_ref.mapInArrow(cut, "id long, ref_id long, chains array<array<int>>, ref_from array<int>, ref_words array<binary>")
+    both = with_words.join(docs.select("id", F.col("text").alias("body")), "id").select("id", "ref_id", "chains", "ref_from", "ref_words", "body")
     return store.keep(both.mapInArrow(align, SPANS), "passages")
 
 

@@ -133,6 +133,33 @@ def test_ends_around_a_long_middle_of_another_document(spark):
     assert any((r["id"], r["ref_id"], r["start"], r["end"], r["equal"]) == (3, 2, 0, 1100, 1100) for r in got)
 
 
+def test_passages_of_pieces_and_of_repeats(spark):
+    rng = random.Random(23)
+    one, two, line = prose(rng, 30), prose(rng, 30), prose(rng, 9)
+    rows = [(1, prose(rng, 40) + " " + one), (2, two + " " + prose(rng, 40))]
+    rows += [(k, " ".join([prose(rng, 20), one, two, prose(rng, 20)])) for k in range(3, 40)]
+    rows += [(50, " ".join([line] * 30)), (51, prose(rng, 12) + " " + " ".join([line] * 20)), (60, "word " * 200), (61, prose(rng, 5) + " word" * 90)]
+    got = substring.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    covers = lambda i, ref, start, end: set(range(start, end)) <= {p for r in got if (r["id"], r["ref_id"]) == (i, ref) for p in range(r["start"], r["end"])}
+    assert all(covers(k, 3, 20, 80) for k in range(4, 40))
+    assert covers(51, 50, 12, 192) and covers(61, 60, 5, 95)
+
+
+def test_every_exact_window_is_covered(spark):
+    rng = random.Random(24)
+    pool = [prose(rng, n, 60) for n in (10, 20, 30, 45, 60)]
+    rows = [(k, " ".join(rng.choice(pool) if rng.random() < 0.8 else prose(rng, 15) for _ in range(12))) for k in range(60)]
+    covered = {}
+    for r in substring.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        covered.setdefault(r["id"], set()).update(range(r["start"], r["end"]))
+    first = {}
+    for k, text in rows:
+        words = text.split()
+        for at in range(len(words) - 49):
+            if first.setdefault(tuple(words[at : at + 50]), k) != k:
+                assert set(range(at, at + 50)) <= covered.get(k, set()), (k, at)
+
+
 def test_substring_odd_and_empty(odd, none):
     out = substring.removed(odd)
     assert out.columns == odd.columns
