@@ -1,6 +1,6 @@
 """Substring dedup (8): fuzzy passages that documents share, by collinear chaining of k-mer seeds.
 
-Every text gives its minimisers (the least 6-word hash of each 16 in a row), so any 21 equal words share a seed. Each
+Every text gives its minimisers (the least 5-word hash of each 4 in a row), so any 8 equal words share a seed. Each
 seed's first occurrence (smallest id, then place) is its anchor, and all other occurrences are joined to that one: a
 star, so a passage that stands in very many documents makes no pairs among them. What that loses (a passage of pieces that
 stood in different documents before, or that repeats words) is found by windows: each `MIN_WORDS` words in a row, of texts
@@ -27,15 +27,13 @@ from pyspark.sql import functions as F
 from . import store
 from .minhash import _PLACE, _mix, word_hashes
 
-K = 6
-WINDOW = 16
+K = 5
+WINDOW = 4
 MIN_WORDS = 50
 MIN_IDENTITY = 0.75
 #: Seeds of one diagonal that are no further apart are one segment.
-JOIN_GAP = WINDOW + K
+JOIN_GAP = 64
 GAP_COST = 0.25
-#: A chain of seeds this long can be a whole passage, as each end may reach past its last seed.
-MIN_CHAIN = MIN_WORDS - 2 * (WINDOW - 1)
 #: Words that are looked at past a chain's ends, and their losses before that is given up.
 REACH = 64
 DROP = 8
@@ -201,7 +199,7 @@ def chained(segments: list[tuple[int, int, int, int]]) -> list[list[tuple[int, i
             lo, hi = (mid + 1, hi) if ends[mid] <= q else (lo, mid)
         value, j = tree.upto(lo)
         value -= GAP_COST * (p + q)
-        score[i] = p_end - p + max(0.0, value)
+        score[i] = p_end - p + K - 1 + max(0.0, value)
         back[i] = j if value > 0 else -1
     used, out = [False] * n, []
     for i in sorted(range(n), key=lambda i: (-score[i], i)):
@@ -239,10 +237,8 @@ def chains_of(matches: DataFrame) -> DataFrame:
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             found = []
             for chain in chained(list(zip(p[a:b].tolist(), pe[a:b].tolist(), q[a:b].tolist(), qe[a:b].tolist(), strict=True))):
-                if chain[-1][1] + K - 1 - chain[0][0] >= MIN_CHAIN:
-                    found.append([x for p0, p1, q0, q1 in chain for x in (p0, p1 + K - 1, q0, q1 + K - 1)])
-            if found:
-                yield i, int(r[a]), found
+                found.append([x for p0, p1, q0, q1 in chain for x in (p0, p1 + K - 1, q0, q1 + K - 1)])
+            yield i, int(r[a]), found
 
     def run(batches):
         held: list[np.ndarray] | None = None
@@ -300,8 +296,9 @@ def _lcs(x: np.ndarray, y: np.ndarray) -> int:
 def _reach(x: list[int], y: list[int]) -> tuple[int, int, int]:
     """How far two sides go on alike, and the equal words of that.
 
-    An equal word gains one; where words differ, the nearest place where three in a row are equal again (up to SKIP words
-    on, on either side) costs two a word skipped. It ends where there is none, or DROP below the best.
+    An equal word gains one; where words differ, the nearest place where three of the next four words are equal, the
+    first of them among these (up to SKIP words on, on either side), costs one a word skipped. It ends where there is
+    none, or DROP below the best.
     """
     i = j = score = equal = 0
     best = (0, 0, 0, 0)
@@ -312,8 +309,8 @@ def _reach(x: list[int], y: list[int]) -> tuple[int, int, int]:
                 best = (score, i, j, equal)
             continue
         for a, b in _SKIPS:
-            if x[i + a : i + a + 3] == y[j + b : j + b + 3] and i + a + 3 <= len(x) and j + b + 3 <= len(y):
-                i, j, score = i + a, j + b, score - 2 * max(a, b)
+            if i + a < len(x) and j + b < len(y) and x[i + a] == y[j + b] and sum(v == w for v, w in zip(x[i + a : i + a + 4], y[j + b : j + b + 4])) >= 3:
+                i, j, score = i + a, j + b, score - max(a, b)
                 break
         else:
             break

@@ -160,6 +160,17 @@ def test_every_exact_window_is_covered(spark):
                 assert set(range(at, at + 50)) <= covered.get(k, set()), (k, at)
 
 
+def test_fuzzy_passages_with_every_tenth_word_changed(spark):
+    rng = random.Random(25)
+    rows = []
+    for k in range(20):
+        passage = prose(rng, 60).split()
+        changed = ["x%d" % rng.randrange(10**6) if i % 10 == 9 else w for i, w in enumerate(passage)]
+        rows += [(2 * k, prose(rng, 40) + " " + " ".join(passage)), (2 * k + 1, " ".join(changed) + " " + prose(rng, 40))]
+    got = substring.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r["id"], r["ref_id"]) for r in got} == {(2 * k + 1, 2 * k) for k in range(20)}
+
+
 def test_substring_odd_and_empty(odd, none):
     out = substring.removed(odd)
     assert out.columns == odd.columns
