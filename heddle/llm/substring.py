@@ -447,9 +447,9 @@ def passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     # Only the texts that a chain names are shuffled.
     ids = store.keep(chains.select(F.explode(F.array("id", "ref_id")).alias("id")).distinct(), "chain-ids")
     docs, _ = store.split(docs, "id", ids)
-    with_ref = chains.join(docs.select(F.col("id").alias("ref_id"), F.col("text").alias("body")), "ref_id").select("id", "ref_id", "chains", "body")
+    with_ref = chains.join(docs.select(F.col("id").alias("ref_id"), F.col("text").alias("body")), "ref_id").select("id", "ref_id", "chains", "body").sortWithinPartitions("ref_id")
     with_words = with_ref.mapInArrow(cut, "id long, ref_id long, chains array<array<int>>, ref_from array<int>, ref_words array<binary>")
-    both = with_words.join(docs.select("id", F.col("text").alias("body")), "id").select("id", "ref_id", "chains", "ref_from", "ref_words", "body")
+    both = with_words.join(docs.select("id", F.col("text").alias("body")), "id").select("id", "ref_id", "chains", "ref_from", "ref_words", "body").sortWithinPartitions("id")
     return store.keep(both.mapInArrow(align, SPANS), "passages")
 
 
