@@ -1,17 +1,23 @@
 """Substring dedup (8): fuzzy passages that documents share, by collinear chaining of k-mer seeds.
 
-Every text gives its minimisers (the least 5-word hash of each 4 in a row), so any 8 equal words share a seed. Each
-seed's first occurrence (smallest id, then place) is its anchor, and all other occurrences are joined to that one: a
-star, so a passage that stands in very many documents makes no pairs among them. What that loses (a passage of pieces that
-stood in different documents before, or that repeats words) is found by windows: each `MIN_WORDS` words in a row, of texts
-where other documents have all seeds, are joined to their own first occurrence. The matches of a document with one
-anchor document are merged along diagonals, chained in order with linear gap costs by prefix maxima in a Fenwick tree,
-extended and aligned on the words, and kept if they cover `MIN_WORDS` words with `MIN_IDENTITY` of them equal; of a chain
-that is less alike the parts that are kept.
-
-A span names the later copy; the anchor's copy is named beside it. Words are `[^\\x20\\x09-\\x0D]+` with A-Z in lower
-case, and whole texts are read. Defined cases: null, empty and short texts share nothing; rows with a null id are not
-compared; equal ids are one document and share nothing with each other; an empty table gives an empty result.
+Every text gives seeds: the 5-word runs of which the second of the four pairs of words has the least hash (open
+syncmers). Whether a run is a seed depends on its own words only, so two texts that share the run share the seed; one run
+in four is one. Each seed's first occurrence (smallest id, then place) is its anchor, and all other occurrences are joined
+to that one: a star, so a passage that stands in very many documents makes no pairs among them. The matches of a document
+with one anchor document are merged along diagonals and chained in order with linear gap costs by prefix maxima in a
+Fenwick tree. A chain of two seeds or more is extended and aligned on the words, and kept if it covers `MIN_WORDS` words
+with `MIN_IDENTITY` of them equal; of a chain that is less alike the parts that are kept. A document's largest chains come
+first; one that lies inside of another is aligned only if no passage found covers it.
+
+What the star loses (a passage of pieces that stood in different documents before, or that repeats words) is found by
+windows: each `MIN_WORDS` words in a row of which other documents have all seeds are joined to their own first occurrence,
+unless the run is known to equal the anchor's already, or the document is itself the anchor of all its seeds (then a later
+copy has a whole chain with it). So every exact run of `MIN_WORDS` words that an earlier document has is found.
+
+A row is a passage of the later copy with the place of the earlier one; rows inside of another row of the same document are
+left out. Words are `[^\\x20\\x09-\\x0D]+` with A-Z in lower case, and whole texts are read. Repeats inside one document are
+no passages (the quality rules judge those). Defined cases: null, empty and short texts share nothing; rows with a null id
+are not compared; equal ids are one document and share nothing with each other; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,59 +27,73 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import store
 from .minhash import _PLACE, _mix, word_hashes
 
 K = 5
-WINDOW = 4
 MIN_WORDS = 50
 MIN_IDENTITY = 0.75
+#: Seeds that a chain must have to be aligned.
+MIN_SEEDS = 2
 #: Seeds of one diagonal that are no further apart are one segment.
 JOIN_GAP = 64
-GAP_COST = 0.25
+GAP_COST = 0.1
 #: Words that are looked at past a chain's ends, and their losses before that is given up.
-REACH = 64
+REACH = 128
 DROP = 8
 SKIP = 4
 _SKIPS = sorted(((a, b) for a in range(SKIP + 1) for b in range(SKIP + 1) if a or b), key=lambda s: (max(s), sum(s), s))
-_KPLACE = np.concatenate((_PLACE, _PLACE[:1] * np.uint64(0x2545F4914F6CDD1D) | np.uint64(1)))
 
 
-def minimisers(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, place) of a text's minimisers; h: its word hashes."""
-    n = len(h) - K + 1
+def worded(docs: DataFrame) -> DataFrame:
+    """id and words (a 32-bit hash of each word, little-endian) of every row with an id; docs: id, text."""
+
+    def run(batches):
+        for batch in batches:
+            words = [word_hashes(t).astype("<u4").tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.binary())], ["id", "words"])
+
+    return docs.filter("id is not null").mapInArrow(run, "id long, words binary")
+
+
+def sampled(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, place) of a text's seeds; words: its word hashes."""
+    n = len(words) - K + 1
     if n < 1:
         return np.empty(0, np.int64), np.empty(0, np.int32)
-    s = np.zeros(n, np.uint64)
+    h = words.astype(np.uint64)
+    two = _mix(h[:-1] * _PLACE[0] + h[1:] * _PLACE[1])
+    a, b, c, d = (two[j : j + n] for j in range(K - 1))
+    at = np.flatnonzero((b <= a) & (b <= c) & (b <= d))
+    s = np.zeros(len(at), np.uint64)
     for j in range(K):
-        s += h[j : j + n] * _KPLACE[j]
-    s = _mix(s)
-    if n <= WINDOW:
-        at = np.array([s.argmin()])
-    else:
-        at = np.unique(np.lib.stride_tricks.sliding_window_view(s, WINDOW).argmin(1) + np.arange(n - WINDOW + 1))
-    return s[at].view(np.int64), at.astype(np.int32)
+        s += h[at + j] * _PLACE[j]
+    return _mix(s).view(np.int64), at.astype(np.int32)
+
 
+def _placed(parts: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    """seed, id, pos of the (id, seeds, places) of some documents."""
+    ids = np.repeat(np.array([i for i, _, _ in parts], np.int64), [len(x) for _, x, _ in parts])
+    columns = [np.concatenate([np.empty(0, np.int64), *[x for _, x, _ in parts]]), ids, np.concatenate([np.empty(0, np.int32), *[y for _, _, y in parts]])]
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["seed", "id", "pos"])
 
-def seeds_of(docs: DataFrame) -> DataFrame:
-    """seed, id, pos of every minimiser; docs: id, text."""
+
+def seeds_of(words: DataFrame) -> DataFrame:
+    """seed, id, pos of every seed; words: id, words."""
 
     def run(batches):
         for batch in batches:
-            parts = [minimisers(word_hashes(t)) for t in batch.column(1).to_pylist()]
-            sizes = [len(a) for a, _ in parts]
-            ids = np.repeat(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), sizes)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([a for a, _ in parts]) if parts else np.empty(0, np.int64)), pa.array(ids), pa.array(np.concatenate([b for _, b in parts]) if parts else np.empty(0, np.int32))], ["seed", "id", "pos"])
+            yield _placed([(i, *sampled(np.frombuffer(w, "<u4"))) for i, w in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)])
 
-    return docs.filter("id is not null").mapInArrow(run, "seed long, id long, pos int")
+    return words.mapInArrow(run, "seed long, id long, pos int")
 
 
 def window_hashes(h: np.ndarray) -> np.ndarray:
     """A hash of each MIN_WORDS words in a row, from hashes of 1, 2, 4, ... words; h: word hashes."""
-    out, size, power, width = None, 0, h, 1
+    out, size, power, width = None, 0, _mix(h.astype(np.uint64)), 1
     pair = lambda a, b, by: _mix(a[: max(0, len(b) - by)] * np.uint64(0x9E3779B97F4A7C15) + b[by:][: len(a)])
     while width <= MIN_WORDS:
         if MIN_WORDS & width:
@@ -82,72 +102,53 @@ def window_hashes(h: np.ndarray) -> np.ndarray:
     return out
 
 
-def windows_of(marked: DataFrame) -> DataFrame:
-    """seed, id, pos of every MIN_WORDS words in a row that other documents may have; marked: id, places, text.
+def open_windows(words: np.ndarray, shared: np.ndarray, own: np.ndarray, exact: list[tuple[int, int]]) -> np.ndarray:
+    """Where the windows begin that have to be met; shared, own: places of seeds that other documents have, and of those
+    of them that stand here first; exact: runs (start, end) known to equal an anchor's."""
+    n = len(words) - MIN_WORDS + 1
+    if n < 1:
+        return np.empty(0, np.int64)
+    at = sampled(words)[1]
 
-    places: of the document's minimisers that another document has too. A run of words that another document has may bear
-    others only at its ends, where a minimiser is chosen by words outside of the run.
-    """
+    def inside(places: np.ndarray) -> np.ndarray:
+        marks = np.zeros(len(words) + 1, np.int32)
+        marks[places + 1] = 1
+        marks = np.cumsum(marks)
+        return marks[MIN_WORDS - K + 1 : MIN_WORDS - K + 1 + n] - marks[:n]
 
-    def run(batches):
-        for batch in batches:
-            keys, ids, places = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int32)]
-            for i, shared, text in zip(*[batch.column(k).to_pylist() for k in range(3)], strict=True):
-                h = word_hashes(text)
-                if len(h) < MIN_WORDS:
-                    continue
-                at = minimisers(h)[1]
-                own = np.zeros(len(h) + 1, np.int32)
-                own[at[~np.isin(at, shared)] + 1] = 1
-                own = np.cumsum(own)
-                begin = np.arange(len(h) - MIN_WORDS + 1)
-                begin = begin[own[begin + MIN_WORDS - K - WINDOW + 2] == own[begin + WINDOW - 1]]
-                keys.append(window_hashes(h)[begin].view(np.int64))
-                ids.append(np.full(len(begin), i, np.int64))
-                places.append(begin.astype(np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, ids, places)], ["seed", "id", "pos"])
-
-    return marked.select("id", "places", "text").mapInArrow(run, "seed long, id long, pos int")
-
-
-def met_first(seeds: DataFrame) -> DataFrame:
-    """id, pos, ref_id, ref_pos of every seed that two documents have and its first occurrence, which meets itself too.
+    all_, ours = inside(at), inside(own)
+    wanted = (inside(shared) == all_) & ~((all_ >= 2) & (ours == all_))
+    for start, end in exact:
+        wanted[start : max(start, end - MIN_WORDS + 1)] = False
+    return np.flatnonzero(wanted)
 
-    A task sees the occurrences of a seed in their order and holds those of its first document at most.
-    """
-    fields = ["id", "pos", "ref_id", "ref_pos"]
+
+def windows_of(marked: DataFrame) -> DataFrame:
+    """seed, id, pos of the open windows; marked: id, places, own (of each place), exact, words."""
 
     def run(batches):
-        held, told = [np.empty(0, np.int64)] * 3, False  # a seed that may go on; whether its first row is out already
-
-        def done(parts, told):
-            seed, ids, pos = [np.concatenate(x) for x in zip(*parts, strict=True)]
-            begins = np.flatnonzero(np.concatenate(([True], seed[1:] != seed[:-1])))
-            ends = np.append(begins[1:], len(seed)) - 1
-            shared = ids[begins] != ids[ends]
-            group = np.repeat(np.arange(len(begins)), ends - begins + 1)
-            keep = shared[group]
-            keep[0] &= not told
-            first = begins[group][keep]
-            out = pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(pos[keep].astype(np.int32)), pa.array(ids[first]), pa.array(pos[first].astype(np.int32))], fields)
-            last, told = int(begins[-1]), bool(shared[-1])
-            to = last + 1 if told else len(seed)
-            return out, [x[last:to] for x in (seed, ids, pos)], told
-
-        parts, n = [], 0
         for batch in batches:
-            parts.append([batch.column(k).to_numpy().astype(np.int64) for k in range(3)])
-            n += batch.num_rows
-            if n >= 20_000:
-                out, held, told = done([held, *parts], told)
-                parts, n = [], 0
-                yield out
-        if n:
-            yield done([held, *parts], told)[0]
+            parts = []
+            for i, places, own, exact, body in zip(*[batch.column(k).to_pylist() for k in range(5)], strict=True):
+                w, places = np.frombuffer(body, "<u4"), np.array(places, np.int64)
+                begin = open_windows(w, places, places[np.array(own, bool)], [(r["start"], r["end"]) for r in exact or ()])
+                if len(begin):
+                    parts.append((i, window_hashes(w)[begin].view(np.int64), begin.astype(np.int32)))
+            yield _placed(parts)
+
+    return marked.select("id", "places", "own", "exact", "words").mapInArrow(run, "seed long, id long, pos int")
+
 
-    parts = max(1, int(seeds.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = seeds.select("seed", "id", "pos").repartition(parts, "seed").sortWithinPartitions("seed", "id", "pos")
-    return dealt.mapInArrow(run, "id long, pos int, ref_id long, ref_pos int")
+def met_first(seeds: DataFrame, name: str) -> DataFrame:
+    """id, pos, ref_id, ref_pos of every seed that two documents have and its first occurrence, which meets itself too.
+
+    The first occurrences are map-side minima that are written before they are joined with the written seeds, so that the
+    join of a seed with very many occurrences can be split.
+    """
+    seeds = store.keep(seeds, name + "-seeds")
+    first = seeds.groupBy("seed").agg(F.min(F.struct("id", "pos")).alias("first"), F.max("id").alias("last")).filter("last <> first.id")
+    anchors = store.keep(first.select("seed", F.col("first.id").alias("ref_id"), F.col("first.pos").alias("ref_pos")), name + "-anchors")
+    return store.keep(seeds.join(anchors, "seed").select("id", "pos", "ref_id", "ref_pos"), name)
 
 
 class Fenwick:
@@ -171,8 +172,9 @@ class Fenwick:
         return out
 
 
-def chained(segments: list[tuple[int, int, int, int]]) -> list[list[tuple[int, int, int, int]]]:
-    """Chains of segments (p, p_end, q, q_end: places of first seeds and past last seeds) that rise in p and in q.
+def chained(segments: list[tuple[int, ...]]) -> list[list[tuple[int, ...]]]:
+    """Chains of segments (p, p_end, q, q_end: places of first seeds and past last seeds; more may follow) that rise in p
+    and in q.
 
     A chain's score is its segments' lengths less GAP_COST for each word skipped on either side. The best chain is taken
     first, and others of what it leaves.
@@ -185,7 +187,7 @@ def chained(segments: list[tuple[int, int, int, int]]) -> list[list[tuple[int, i
     ends = sorted(ranks)
     tree, waiting, put = Fenwick(len(ends)), sorted(range(n), key=lambda i: segments[i][1]), 0
     score, back = [0.0] * n, [-1] * n
-    for i, (p, p_end, q, _) in enumerate(segments):
+    for i, (p, p_end, q, *_) in enumerate(segments):
         while put < n and segments[waiting[put]][1] <= p:
             j = waiting[put]
             if j < i:
@@ -213,46 +215,106 @@ def chained(segments: list[tuple[int, int, int, int]]) -> list[list[tuple[int, i
     return out
 
 
-def _segments(ref: np.ndarray, pos: np.ndarray, at: np.ndarray, size: np.ndarray):
-    """Runs of seeds along a diagonal of one anchor document: ref, p, p_end, q, q_end; rows come sorted by (ref, pos - at, pos).
+def _segments(ref: np.ndarray, pos: np.ndarray, at: np.ndarray, size: int, gap: int = JOIN_GAP):
+    """Runs of seeds along a diagonal of one anchor document: ref, p, p_end, q, q_end, how many; rows come sorted by
+    (ref, pos - at, pos).
 
     Seeds of more than K words end where a seed of K words would that ends with them.
     """
     diagonal = pos - at
-    cut = np.flatnonzero((np.diff(ref) != 0) | (np.diff(diagonal) != 0) | (np.diff(pos) > JOIN_GAP)) + 1
+    cut = np.flatnonzero((np.diff(ref) != 0) | (np.diff(diagonal) != 0) | (np.diff(pos) > gap)) + 1
     begins = np.concatenate(([0], cut))
     p_end = np.maximum.reduceat(pos + size, begins) - K + 1
-    return ref[begins], pos[begins], p_end, at[begins], p_end - diagonal[begins]
+    return ref[begins], pos[begins], p_end, at[begins], p_end - diagonal[begins], np.diff(np.append(begins, len(pos)))
 
 
-def chains_of(matches: DataFrame) -> DataFrame:
-    """id, ref_id, chains (flat arrays of p, p_end, q, q_end in words) of matches (id, pos, ref_id, ref_pos, size in words).
+class Cover:
+    """Runs of places that do not touch, in order."""
 
-    A task sees a document's matches one after another; there are no more than the document has seeds and windows.
+    def __init__(self):
+        self.runs: list[tuple[int, int]] = []
+
+    def holds(self, start: int, end: int) -> bool:
+        k = bisect.bisect_right(self.runs, start, key=lambda r: r[0])
+        return k > 0 and self.runs[k - 1][1] >= end
+
+    def add(self, start: int, end: int) -> None:
+        lo = bisect.bisect_left(self.runs, start, key=lambda r: r[1])
+        hi = bisect.bisect_right(self.runs, end, key=lambda r: r[0])
+        if lo < hi:
+            start, end = min(start, self.runs[lo][0]), max(end, self.runs[hi - 1][1])
+        self.runs[lo:hi] = [(start, end)]
+
+
+Chain = tuple[int, int, int, bool, list[int]]
+
+
+def document_chains(ref: np.ndarray, pos: np.ndarray, at: np.ndarray) -> list[Chain]:
+    """(ref, lo, hi, outer, flat segments p, p_end, q, q_end in words) of a document's chains of MIN_SEEDS seeds or more.
+
+    outer: the chain is in no other one with more seeds.
     """
+    r, p, pe, q, qe, k = _segments(ref, pos, at, K)
+    cuts = np.concatenate(([0], np.flatnonzero(np.diff(r)) + 1, [len(r)])).tolist()
+    rows = list(zip(p.tolist(), pe.tolist(), q.tolist(), qe.tolist(), k.tolist(), strict=True))
+    found = []
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        for chain in chained(rows[a:b]):
+            seeds = sum(s[4] for s in chain)
+            if seeds >= MIN_SEEDS:
+                found.append((-seeds, chain[0][0], chain[-1][1] + K - 1, int(r[a]), [x for p0, p1, q0, q1, _ in chain for x in (p0, p1 + K - 1, q0, q1 + K - 1)]))
+    cover, out = Cover(), []
+    for _, lo, hi, i, flat in sorted(found):
+        outer = not cover.holds(lo, hi)
+        if outer:
+            cover.add(lo, hi)
+        out.append((i, lo, hi, outer, flat))
+    return out
+
+
+def window_runs(ref: np.ndarray, pos: np.ndarray, at: np.ndarray) -> list[Chain]:
+    """As document_chains, of windows: the fewest runs of equal words that hold all words of a document's windows."""
+    r, p, pe, q, qe, _ = _segments(ref, pos, at, MIN_WORDS, MIN_WORDS)
+    runs = sorted(zip(p.tolist(), (pe + K - 1).tolist(), r.tolist(), q.tolist(), (qe + K - 1).tolist(), strict=True))
+    out, end, k = [], -1, 0
+    while k < len(runs):
+        if runs[k][0] > end:
+            end = runs[k][0]
+        best = None  # of the runs that begin in what is held the one that goes on furthest
+        while k < len(runs) and runs[k][0] <= end:
+            if best is None or runs[k][1] > best[1]:
+                best = runs[k]
+            k += 1
+        if best[1] > end:
+            lo, end, i, q0, q1 = best
+            out.append((i, lo, end, True, [lo, end, q0, q1]))
+    return out
 
-    def chains(i: int, ref, pos, at, size):
-        r, p, pe, q, qe = _segments(ref, pos, at, size)
-        cuts = np.concatenate(([0], np.flatnonzero(np.diff(r)) + 1, [len(r)]))
-        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            found = []
-            for chain in chained(list(zip(p[a:b].tolist(), pe[a:b].tolist(), q[a:b].tolist(), qe[a:b].tolist(), strict=True))):
-                found.append([x for p0, p1, q0, q1 in chain for x in (p0, p1 + K - 1, q0, q1 + K - 1)])
-            yield i, int(r[a]), found
+
+CHAINS = "id long, ref_id long, lo int, hi int, outer boolean, segments array<int>"
+
+
+def chains_of(matches: DataFrame, chains=document_chains) -> DataFrame:
+    """id, ref_id, lo, hi, outer, segments of the chains in matches (id, pos, ref_id, ref_pos).
+
+    A task sees a document's matches one after another; there are no more than the document has seeds and windows.
+    """
 
     def run(batches):
         held: list[np.ndarray] | None = None
 
         def done(parts):
             ids = parts[0]
-            cuts = np.concatenate(([0], np.flatnonzero(np.diff(ids)) + 1, [len(ids)]))
-            rows = [c for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b > a for c in chains(int(ids[a]), *[x[a:b] for x in parts[1:]])]
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.list_(pa.int32())))], ["id", "ref_id", "chains"])
+            cuts = np.concatenate(([0], np.flatnonzero(np.diff(ids)) + 1, [len(ids)])).tolist()
+            rows = [(int(ids[a]), *c) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b > a for c in chains(*[x[a:b] for x in parts[1:]])]
+            columns = list(zip(*rows, strict=True)) if rows else [()] * 6
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.list_(pa.int32())]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [x.split()[0] for x in CHAINS.split(", ")])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            parts = [batch.column(k).to_numpy().astype(np.int64) for k in range(5)]
+            parts = [batch.column(k).to_numpy().astype(np.int64) for k in range(4)]
             if held is not None:
                 parts = [np.concatenate(x) for x in zip(held, parts, strict=True)]
             last = int(np.searchsorted(parts[0], parts[0][-1]))  # the last document may go on in the next batch
@@ -262,10 +324,8 @@ def chains_of(matches: DataFrame) -> DataFrame:
         if held is not None:
             yield done(held)
 
-    spark = matches.sparkSession
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    dealt = matches.withColumn("diagonal", F.col("pos") - F.col("ref_pos")).repartition(parts, "id").sortWithinPartitions("id", "ref_id", "diagonal", "pos")
-    return dealt.select("id", "ref_id", "pos", "ref_pos", "size").mapInArrow(run, "id long, ref_id long, chains array<array<int>>")
+    dealt = matches.withColumn("diagonal", F.col("pos") - F.col("ref_pos")).repartition("id").sortWithinPartitions("id", "ref_id", "diagonal", "pos")
+    return dealt.select("id", "ref_id", "pos", "ref_pos").mapInArrow(run, CHAINS)
 
 
 def _lcs(x: np.ndarray, y: np.ndarray) -> int:
@@ -334,14 +394,24 @@ def _units(x: np.ndarray, y: np.ndarray, s: np.ndarray) -> list[tuple[int, int,
     return out
 
 
-def aligned(x: np.ndarray, y: np.ndarray, y_from: int, segments: list[int]) -> list[tuple[int, int, int, int, int]]:
-    """(start, end, ref start, ref end, equal words) of each passage of a chain; y: the anchor's word hashes from y_from on.
+def equal_runs(x: np.ndarray, y: np.ndarray, s: np.ndarray) -> set[tuple[int, int]]:
+    """Runs of MIN_WORDS equal words and more on the diagonals of segments (p, p_end, q, q_end)."""
+    out = set()
+    for p0, p1, q0, _ in s.tolist():
+        d = q0 - p0
+        a, b = max(0, p0 - REACH, -d), min(len(x), p1 + REACH, len(y) - d)
+        same = np.concatenate(([False], x[a:b] == y[a + d : b + d], [False]))
+        edges = (np.flatnonzero(same[1:] != same[:-1]) + a).tolist()
+        out |= {(e, f) for e, f in zip(edges[::2], edges[1::2], strict=True) if f - e >= MIN_WORDS}
+    return out
+
+
+def aligned(x: np.ndarray, y: np.ndarray, s: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+    """(start, end, ref start, ref end, equal words) of each passage of a chain; s: its segments (p, p_end, q, q_end).
 
     A chain that is too unlike as a whole is cut into its longest part that is alike enough and what lies on either side
     of that, and each is looked at by itself.
     """
-    s = np.array(segments, np.int64).reshape(-1, 4)
-    s[:, 2:] -= y_from
     units = _units(x, y, s)
     if not units:
         return []
@@ -358,7 +428,7 @@ def aligned(x: np.ndarray, y: np.ndarray, y_from: int, segments: list[int]) -> l
         equal = int(through[j] - before[i]) + gain_left + gain_right
         if end - start < MIN_WORDS or equal < MIN_IDENTITY * max(end - start, ref_end - ref):
             return None
-        return start, end, ref + y_from, ref_end + y_from, equal
+        return start, end, ref, ref_end, equal
 
     def longest(i: int, j: int) -> tuple[int, int]:
         open_x, open_y = before - MIN_IDENTITY * u[:, 0], before - MIN_IDENTITY * u[:, 2]
@@ -385,22 +455,38 @@ def aligned(x: np.ndarray, y: np.ndarray, y_from: int, segments: list[int]) -> l
     return sorted(out)
 
 
-def uncovered(spans: list[tuple[int, int, int, int, int]]) -> list[tuple[int, int, int, int, int]]:
-    """Spans of one pair of documents, longest first, without those whose words in the later copy are in spans before."""
-    out: list[tuple[int, int, int, int, int]] = []
-    runs: list[list[int]] = []  # what the spans taken cover, as runs that do not touch, in order
-    for s in sorted(set(spans), key=lambda s: (s[0] - s[1], -s[4], s)):
-        k = bisect.bisect_right(runs, s[0], key=lambda r: r[0])
-        if k and runs[k - 1][1] >= s[1]:
-            continue
-        out.append(s)
-        lo = k - 1 if k and runs[k - 1][1] >= s[0] else k
-        hi = bisect.bisect_right(runs, s[1], key=lambda r: r[0])
-        runs[lo:hi] = [[min([s[0]] + [r[0] for r in runs[lo:hi]]), max([s[1]] + [r[1] for r in runs[lo:hi]])]]
-    return sorted(out)
+SPANS = "id long, start int, end int, ref_id long, ref_start int, ref_end int, equal int, n int, exact boolean"
 
 
-SPANS = "id long, start int, end int, ref_id long, ref_start int, ref_end int, equal int"
+def aligned_chains(chains: DataFrame, words: DataFrame, name: str) -> DataFrame:
+    """id, start, end, ref_id, ref_start, ref_end, equal, n (words of the document) of the passages of chains, and with
+    exact = true the runs of equal words in them. chains: a written table.
+
+    Both sides' words around a chain are cut out in the join, so that no text is repeated outside of it.
+    """
+    ids = store.keep(chains.select(F.explode(F.array("id", "ref_id")).alias("id")).distinct(), name + "-ids")
+    words, _ = store.split(words, "id", ids)
+    last = F.element_at("segments", -1)
+    piece = lambda body, start, end: F.substring(F.col(body), 4 * start + 1, 4 * (end - start))
+    ends = chains.withColumn("x_from", F.greatest(F.col("lo") - REACH, F.lit(0))).withColumn("y_from", F.greatest(F.element_at("segments", 3) - REACH, F.lit(0)))
+    with_ref = ends.join(words.select(F.col("id").alias("ref_id"), F.col("words").alias("body")), "ref_id").select("id", "ref_id", "hi", "x_from", "y_from", "segments", piece("body", F.col("y_from"), last + REACH).alias("y"))
+    both = with_ref.join(words.select("id", F.col("words").alias("body")), "id")
+    both = both.select("id", "ref_id", "x_from", "y_from", "segments", piece("body", F.col("x_from"), F.col("hi") + REACH).alias("x"), "y", (F.length("body") / 4).cast("int").alias("n"))
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for i, ref, x_from, y_from, segments, x, y, n in zip(*[batch.column(k).to_pylist() for k in range(8)], strict=True):
+                x, y = np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")
+                s = np.array(segments, np.int64).reshape(-1, 4) - np.array([x_from, x_from, y_from, y_from])
+                for start, end, ref_start, ref_end, equal in aligned(x, y, s):
+                    rows.append((i, start + x_from, end + x_from, ref, ref_start + y_from, ref_end + y_from, equal, n, False))
+                rows += [(i, start + x_from, end + x_from, ref, None, None, end - start, n, True) for start, end in equal_runs(x, y, s)]
+            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.bool_()]
+            columns = list(zip(*rows, strict=True)) if rows else [()] * 9
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [x.split()[0] for x in SPANS.split(", ")])
+
+    return store.keep(both.mapInArrow(run, SPANS), name)
 
 
 def passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -409,48 +495,35 @@ def passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     store.ship(spark)
     store.small_batches(spark)
     docs = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
-    met = store.keep(met_first(seeds_of(docs)), "met")
-    marks = store.keep(met.groupBy("id").agg(F.collect_list("pos").alias("places")), "marks")  # no more than a text has seeds
-    marked = store.split(docs, "id", marks)[0].join(marks, "id")
-    windows = store.keep(met_first(windows_of(marked)).filter("id <> ref_id"), "windows")
+    words = store.keep(worded(docs), "words")
+    met = met_first(seeds_of(words), "met")
     store.small_batches(spark, 10_000)
-    matches = met.filter("id <> ref_id").withColumn("size", F.lit(K)).union(windows.withColumn("size", F.lit(MIN_WORDS)))
-    chains = store.keep(chains_of(matches), "chains")
+    chains = store.keep(chains_of(met.filter("id <> ref_id")), "chains")
+    store.small_batches(spark)
+    found = aligned_chains(store.keep(chains.filter("outer"), "outer"), words, "found")
+
+    # No list is longer than its text.
+    own = (F.col("id") == F.col("ref_id")) & (F.col("pos") == F.col("ref_pos"))
+    marks = met.groupBy("id").agg(F.collect_list(F.struct("pos", own.alias("own"))).alias("seeds"))
+    exact = found.filter("exact").groupBy("id").agg(F.collect_set(F.struct("start", "end")).alias("exact"))
+    marks = store.keep(marks.join(exact, "id", "left").select("id", F.col("seeds.pos").alias("places"), F.col("seeds.own").alias("own"), "exact"), "marks")
+    windows = met_first(windows_of(store.split(words, "id", marks)[0].join(marks, "id")), "windows")
+    store.small_batches(spark, 10_000)
+    more = store.keep(chains_of(windows.filter("id <> ref_id"), window_runs), "window-chains")
     store.small_batches(spark)
 
-    def cut(batches):
-        """The anchor's word hashes around each chain instead of its text."""
-        last, own = None, np.empty(0, np.uint64)
-        for batch in batches:
-            begins, words = [], []
-            for ref, found, body in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                if ref != last:
-                    last, own = ref, word_hashes(body)
-                begins.append([max(0, segments[2] - REACH) for segments in found])
-                words.append([own[begin : segments[-1] + REACH].astype("<u4").tobytes() for begin, segments in zip(begins[-1], found, strict=True)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(begins, pa.list_(pa.int32())), pa.array(words, pa.list_(pa.binary()))], ["id", "ref_id", "chains", "ref_from", "ref_words"])
-
-    def align(batches):
-        last, own = None, np.empty(0, np.uint32)
-        for batch in batches:
-            rows = []
-            for i, ref, found, begins, words, body in zip(*[batch.column(k).to_pylist() for k in range(6)], strict=True):
-                if i != last:
-                    last, own = i, word_hashes(body).astype(np.uint32)
-                spans = [span for segments, begin, w in zip(found, begins, words, strict=True) for span in aligned(own, np.frombuffer(w, "<u4"), begin, segments)]
-                for span in uncovered(spans):
-                    rows.append((i, span[0], span[1], ref, *span[2:]))
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
-            columns = list(zip(*rows, strict=True)) if rows else [()] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [x.split()[0] for x in SPANS.split(", ")])
-
-    # Only the texts that a chain names are shuffled.
-    ids = store.keep(chains.select(F.explode(F.array("id", "ref_id")).alias("id")).distinct(), "chain-ids")
-    docs, _ = store.split(docs, "id", ids)
-    with_ref = chains.join(docs.select(F.col("id").alias("ref_id"), F.col("text").alias("body")), "ref_id").select("id", "ref_id", "chains", "body").sortWithinPartitions("ref_id")
-    with_words = with_ref.mapInArrow(cut, "id long, ref_id long, chains array<array<int>>, ref_from array<int>, ref_words array<binary>")
-    both = with_words.join(docs.select("id", F.col("text").alias("body")), "id").select("id", "ref_id", "chains", "ref_from", "ref_words", "body").sortWithinPartitions("id")
-    return store.keep(both.mapInArrow(align, SPANS), "passages")
+    # An inner chain is covered if all windows that its seeds may lie in are; a chain of windows ends where they end.
+    spans = store.keep(found.filter("not exact").groupBy("id").agg(F.collect_set(F.struct("start", "end", "n")).alias("spans")), "spans")
+    beyond = F.when(F.col("inner"), MIN_WORDS).otherwise(0)
+    covers = lambda s: (s["start"] <= F.greatest(F.col("lo") - beyond, F.lit(0))) & (s["end"] >= F.least(F.col("hi") + beyond, s["n"]))
+    rest = chains.filter("not outer").withColumn("inner", F.lit(True)).union(more.withColumn("inner", F.lit(False))).join(spans, "id", "left")
+    rest = store.keep(rest.filter(~F.coalesce(F.exists("spans", covers), F.lit(False))).drop("spans", "inner"), "rest")
+    both = found.union(aligned_chains(rest, words, "found-later")).filter("not exact")
+
+    # Rows inside of a row of the same document go: one of those that begin no later ends no earlier.
+    order = Window.partitionBy("id").orderBy("start", F.desc("end"), F.desc("equal"), "ref_id", "ref_start", "ref_end").rowsBetween(Window.unboundedPreceding, -1)
+    outer = both.withColumn("before", F.max("end").over(order)).filter(F.col("before").isNull() | (F.col("before") < F.col("end")))
+    return store.keep(outer.select("id", "start", "end", "ref_id", "ref_start", "ref_end", "equal"), "passages")
 
 
 _WORD = re.compile(r"[^ \t-\r]+")

@@ -140,9 +140,9 @@ def test_passages_of_pieces_and_of_repeats(spark):
     rows += [(k, " ".join([prose(rng, 20), one, two, prose(rng, 20)])) for k in range(3, 40)]
     rows += [(50, " ".join([line] * 30)), (51, prose(rng, 12) + " " + " ".join([line] * 20)), (60, "word " * 200), (61, prose(rng, 5) + " word" * 90)]
     got = substring.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    covers = lambda i, ref, start, end: set(range(start, end)) <= {p for r in got if (r["id"], r["ref_id"]) == (i, ref) for p in range(r["start"], r["end"])}
-    assert all(covers(k, 3, 20, 80) for k in range(4, 40))
-    assert covers(51, 50, 12, 192) and covers(61, 60, 5, 95)
+    covers = lambda i, refs, start, end: set(range(start, end)) <= {p for r in got if r["id"] == i and r["ref_id"] in refs for p in range(r["start"], r["end"])}
+    assert all(covers(k, range(3, k), 20, 80) for k in range(4, 40))  # one that has a word more in common is named instead
+    assert covers(51, [50], 12, 192) and covers(61, [60], 5, 95)
 
 
 def test_every_exact_window_is_covered(spark):
