@@ -5,7 +5,8 @@ tag, class and id words, text length and link share depend on its label. Sum-pro
 down from the root, and give each node's marginal; the text of nodes with a marginal over one half is the result.
 The tables are counted from labelled pages (`labelled_pages` writes some in many layouts; others may be given).
 
-Scripts, styles, comments and other elements that are never shown are no nodes. Inline elements belong to their block.
+Scripts, styles, comments and other elements that are never shown are no nodes. Inline elements belong to their block, and
+so does what formulas and embedded media hold. Reading a page takes time in proportion to its length.
 Defined cases: null or empty html, and pages without content, give the empty string; unclosed and stray tags are
 repaired as browsers do (a block closes an open paragraph, an unknown end tag is ignored); whole pages are read.
 """
@@ -25,8 +26,7 @@ from pyspark.sql import functions as F
 from . import store
 
 #: Element kinds of HTML.
-HIDDEN = {"script", "style", "title", "noscript", "template", "iframe", "svg", "math", "textarea", "select", "object", "canvas", "audio", "video", "head"}
-RAW = {"script", "style", "title", "noscript", "template", "iframe", "svg", "math", "textarea", "select", "object", "canvas", "audio", "video"}
+RAW = {"script", "style", "title", "noscript", "template", "iframe", "svg", "textarea", "select"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCK = {
     "html", "body", "head", "address", "article", "aside", "blockquote", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1",
@@ -34,6 +34,7 @@ BLOCK = {
 }
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "tbody": {"tbody", "thead", "tfoot", "tr", "td", "th"}}
 SCOPE = {"ul", "ol", "dl", "table", "menu"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: Words of class and id attributes that the model looks at.
 CLUES = (
     "nav", "menu", "header", "head", "footer", "foot", "sidebar", "side", "aside", "widget", "ad", "ads", "advert", "advertisement", "sponsor", "sponsored", "promo", "banner", "cookie", "consent", "notice", "alert", "popup",
@@ -41,11 +42,62 @@ CLUES = (
     "copyright", "legal", "toolbar", "tags", "meta", "article", "content", "main", "post", "entry", "story", "body", "text", "page", "wrapper", "container", "site", "top", "bottom",
 )
 _CLUES = frozenset(CLUES)
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S)
+#: A comment, a tag (slash, name, attributes: blanks, slashes, names, and values in quotes or up to a blank) or a
+#: declaration. No part gives back what it has taken, so the time is linear.
+_TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[\s/]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>]*+)|[^\s/>=]++)*+)(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)", re.S
+)
 _NAMES = re.compile(r"(?:\b(?:class|id|role)\s*=\s*)(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 _WORD = re.compile(r"[A-Za-z]+")
 
 
+class Open:
+    """The open blocks, with counts by name: of all, and of those inside of the innermost list or table.
+
+    A block is looked for only if it is open, and what is passed on the way to it is closed, so each block is passed once.
+    """
+
+    def __init__(self, tag: list[str]):
+        self.tag, self.stack, self.names, self.inside = tag, [0], Counter(), [Counter()]
+
+    def top(self) -> int:
+        return self.stack[-1]
+
+    def push(self, node: int) -> None:
+        name = self.tag[node]
+        self.stack.append(node)
+        self.names[name] += 1
+        if name in SCOPE:
+            self.inside.append(Counter())
+        else:
+            self.inside[-1][name] += 1
+
+    def pop(self) -> str:
+        name = self.tag[self.stack.pop()]
+        self.names[name] -= 1
+        if name in SCOPE:
+            self.inside.pop()
+        else:
+            self.inside[-1][name] -= 1
+        return name
+
+    def close(self, name: str) -> None:
+        """An end tag: closes the innermost block of that name and all in it; without one it is ignored."""
+        if self.names[name]:
+            while self.pop() != name:
+                pass
+
+    def make_room(self, name: str) -> None:
+        """What a start tag closes: an open paragraph or heading, and list items, cells and rows before it."""
+        last = self.tag[self.stack[-1]]
+        if last == "p" or last in HEADINGS and name != "p":
+            self.pop()
+        shut = CLOSES.get(name)
+        if shut and any(self.inside[-1][x] for x in shut):
+            while self.pop() not in shut:
+                pass
+
+
 class Page:
     """Blocks in document order (a parent before its children), and runs of text with their block."""
 
@@ -56,23 +108,23 @@ class Page:
         self._read(source or "")
 
     def _read(self, source: str) -> None:
-        stack, parts, links, at, end = [0], [], 0, 0, len(source)
+        stack, parts, links, at, end = Open(self.tag), [], 0, 0, len(source)
 
         def flush() -> None:
             if parts:
                 text = " ".join("".join(parts).split())
                 parts.clear()
                 if text:
-                    self.runs.append((stack[-1], text))
+                    self.runs.append((stack.top(), text))
 
         def add(text: str) -> None:
             if "&" in text:
                 text = html.unescape(text)
             parts.append(text)
             n = len(text) - text.count(" ")
-            self.chars[stack[-1]] += n
+            self.chars[stack.top()] += n
             if links:
-                self.linked[stack[-1]] += n
+                self.linked[stack.top()] += n
 
         while at < end:
             m = _TOKEN.search(source, at)
@@ -89,10 +141,7 @@ class Page:
                 if name in BLOCK:
                     flush()
                     links = 0
-                    for k in range(len(stack) - 1, 0, -1):
-                        if self.tag[stack[k]] == name:
-                            del stack[k:]
-                            break
+                    stack.close(name)
                 elif name == "a":
                     links = max(0, links - 1)
                 continue
@@ -106,31 +155,18 @@ class Page:
             elif name in BLOCK:
                 flush()
                 links = 0
-                self._close_for(stack, name)
-                self.parent.append(stack[-1])
+                stack.make_room(name)
+                self.parent.append(stack.top())
                 self.tag.append(name)
                 words = [w for x in _NAMES.findall(m[3]) for w in _WORD.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", "".join(x)))] if m[3] else ()
                 self.clues.append(tuple({w.lower() for w in words} & _CLUES) if words else ())
                 self.chars.append(0)
                 self.linked.append(0)
-                stack.append(len(self.tag) - 1)
+                stack.push(len(self.tag) - 1)
             elif name == "a":
                 links += 1
         flush()
 
-    def _close_for(self, stack: list[int], name: str) -> None:
-        if self.tag[stack[-1]] in ("p", "h1", "h2", "h3", "h4", "h5", "h6") and not (self.tag[stack[-1]] != "p" and name == "p"):
-            stack.pop()
-        shut = CLOSES.get(name)
-        if shut:
-            for k in range(len(stack) - 1, 0, -1):
-                tag = self.tag[stack[k]]
-                if tag in shut:
-                    del stack[k:]
-                    break
-                if tag in SCOPE:
-                    break
-
     def features(self) -> list[tuple[str, ...]]:
         chars, linked = self.chars[:], self.linked[:]
         for i in range(len(chars) - 1, 0, -1):
