@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from . import store
 
-
 #: Edges that a task of a step may well hold; steps of few edges run in few tasks, whatever the session's partitions.
 TASK_EDGES = 200_000
 
 
 def _mark(edges: DataFrame) -> tuple:
-    r = edges.agg(F.count(F.lit(1)), F.sum("lo"), F.sum("hi")).first()
+    wide = lambda c: F.sum(F.col(c).cast("decimal(20,0)"))  # noqa: E731  # ids may be any longs
+    r = edges.agg(F.count(F.lit(1)), wide("lo"), wide("hi")).first()
     return tuple(r)
 
 
@@ -41,4 +41,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 100)
         before, mark = mark, _mark(now)
         if mark == before:
             break
+    else:
+        raise ValueError(f"components not closed in {rounds} rounds")
     return now.groupBy("hi").agg(F.min("lo").alias("component")).withColumnRenamed("hi", "id")

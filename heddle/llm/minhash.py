@@ -7,8 +7,9 @@ the pairs across components are tried too, in large buckets (over `SMALL` member
 agree. So what is left to chance is that two similar texts share no band (5e-6 at similarity 0.75, less above) or that
 their sketches are 4.5 deviations off.
 
-Defined cases: null, empty and blank texts have no shingles and are linked with nothing; ids may repeat (one node);
-rows with a null id are linked with nothing and have a null component; an empty table gives an empty result.
+Defined cases: null, empty and blank texts have no shingles and are linked with nothing; rows of one id are one document
+that has the links of each of its texts; rows with a null id are linked with nothing and have a null component; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -204,16 +205,26 @@ def sketched(docs: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """id, n (shingles), component (smallest id that it reaches, itself included): one row for each row of docs."""
     all_rows = store.keep(signed(docs, doc_id, text), "signatures")
+    texts = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
+    if all_rows.groupBy("id").agg(F.count(F.lit(1)).alias("k")).filter("k > 1 and id is not null").isEmpty():
+        return _linked(all_rows, texts)
+    rows = store.keep(texts.filter("id is not null").withColumn("row", F.monotonically_increasing_id()), "rows")
+    roots = store.keep(_roots(rows), "roots")
+    least = roots.groupBy("root").agg(F.min("id").alias("component"))
+    return roots.join(least, "root").select("id", "n", "component").union(all_rows.filter("id is null").select("id", "n", F.lit(None).cast("long").alias("component")))
+
+
+def _linked(all_rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """near_duplicates for ids that do not repeat. all_rows: signed(texts), written."""
     slim = all_rows.select("id", "n", "h1", "h2")
     same = ["n", "h1", "h2"]
     groups = slim.filter("n > 0 and id is not null").groupBy(*same).agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("k")).filter("k > 1").drop("k")
     groups = store.keep(groups, "copies")
     nodes = all_rows.filter("n > 0 and id is not null").join(groups, same, "left").filter("rep is null or rep = id").select("id", "n", "sig", "bands")
-    nodes = store.keep(nodes.dropDuplicates(["id", "n"]), "nodes") if _repeats(slim, groups) else store.keep(nodes, "nodes")
+    nodes = store.keep(nodes, "nodes")
     banded = nodes.select("id", "n", F.explode("bands").alias("key"))
     buckets = store.keep(banded.groupBy("key").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("k")).filter("k > 1").select("key", "a"), "buckets")
     member = store.keep(banded.join(buckets, "key"), "members")
-    texts = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
     pairs = store.keep(alike(member.filter("id <> a").select("a", F.col("id").alias("b")).distinct(), nodes), "pairs")
     links = store.keep(confirmed(pairs, texts), "links")
     comps = store.keep(components(links), "components")
@@ -228,36 +239,41 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     return out.select("id", "n", F.when(F.col("n") > 0, F.coalesce("of_group", "component", "id")).otherwise(F.col("id")).alias("component"))
 
 
-def _repeats(slim: DataFrame, groups: DataFrame) -> bool:
-    """Whether an id occurs in more than one row."""
-    return not slim.groupBy("id").agg(F.count(F.lit(1)).alias("k")).filter("k > 1 and id is not null").isEmpty()
+def _roots(rows: DataFrame) -> DataFrame:
+    """row, id, n, root (smallest row that it reaches by links or by equal ids). rows: written, with row (unique), id, text."""
+    part = store.keep(_linked(store.keep(signed(rows, "row", "text"), "row-signatures"), rows.select(F.col("row").alias("id"), "text")), "row-links")
+    first = rows.filter("id is not null").groupBy("id").agg(F.min("row").alias("first"))
+    by_id = rows.join(first, "id").filter("row <> first").select(F.col("row").alias("a"), F.col("first").alias("b"))
+    merged = components(part.filter("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b")).union(by_id))
+    named = rows.select("row", "id").join(part.select(F.col("id").alias("row"), "n"), "row")
+    return named.join(merged.select(F.col("id").alias("row"), F.col("component").alias("root")), "row", "left").select("row", "id", "n", F.coalesce("root", "row").alias("root"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs without near-duplicates: of each component the row with the smallest doc_id stays.
 
-    Where ids are null or repeated, rows without an id are nodes of their own, and of equal ids the first row stays.
+    Where ids are null or repeated, rows without an id are documents of their own, and of equal ids the first row stays.
     """
-    spark, mark = docs.sparkSession, store.mark()
+    spark = docs.sparkSession
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    if store.keyed(docs)[1]:
-        gone = store.keep(near_duplicates(docs).filter("id <> component").select("id"), "near-gone")
-        store.release(spark, mark, gone)
-        doubtful, sure = store.split(docs, "doc_id", gone)
-        lone = doubtful.join(gone.select(F.col("id").alias("_gone")), F.col("doc_id") == F.col("_gone"), "left_anti")
-        return sure.select(*columns).union(lone.select(*columns))
-    row, node = store.fresh_name(docs, "_row"), store.fresh_name(docs, "_node")
-    named = docs.withColumn(row, F.monotonically_increasing_id()).withColumn(node, F.coalesce(F.col("doc_id").cast("long"), -1 - F.col(row)))
-    named = store.keep(named, "near-rows")
-    comp = near_duplicates(named, doc_id=node)
-    stay = store.keep(comp.filter("id = component").select("id").distinct(), "stay")
-    first = named.select(node, row).join(stay.withColumnRenamed("id", node), node, "left_semi").groupBy(node).agg(F.min(row).alias(row)).select(row)
-    first = store.keep(first, "first")
-    store.release(spark, mark, named, first)
-    return named.join(first, row, "left_semi").select(*columns)
+    with store.tables(spark) as own:
+        if store.keyed(docs)[1]:
+            lost = store.fresh_name(docs, "_gone")
+            gone = store.keep(near_duplicates(docs).filter("id <> component").select(F.col("id").alias(lost)), "near-gone")
+            own.release(gone)
+            doubtful, sure = store.split(docs, "doc_id", gone, lost)
+            lone = doubtful.join(gone, F.col("doc_id").cast("long") == F.col(lost), "left_anti")
+            return sure.select(*columns).union(lone.select(*columns))
+        row = store.fresh_name(docs, "_row")
+        named = store.keep(docs.withColumn(row, F.monotonically_increasing_id()), "near-rows")
+        roots = store.keep(_roots(named.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("id"), "text")), "roots")
+        first = roots.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("x"), "id", "row")).alias("first")).select(F.col("first.row").alias(row))
+        first = store.keep(first, "first")
+        own.release(named, first)
+        return named.join(first, row, "left_semi").select(*columns)
 
 
 def op2_near_duplicates(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    out = near_duplicates(docs)
+    out = store.result(spark, lambda: near_duplicates(docs), "near-duplicates")
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"))

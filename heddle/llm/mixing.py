@@ -3,11 +3,11 @@
 Sources in code-point order (null last) weigh 5, 2, 1, 5, ... and share `SHARE` of all words; no target exceeds `CAP`
 times its source's words, and what that frees is shared again by weight (water filling, in closed form). Within a
 source every document expects target / source words copies; its copies are the integers that the running sum of
-expected copies crosses from one seeded random offset on. Documents run by falling size (eighths of an octave, then a
-hash), so that the words taken come out even too.
+expected copies crosses from one seeded random offset on. Documents run by falling size (equal sizes by a hash), so that
+the words taken come out even too: they miss a source's target by no more than the size of its longest document.
 
 A row's place in that run is its place in a small block plus the rows of the blocks before it, so no task sorts a whole
-source. Defined cases: null or blank texts have size 0 and are never words; sources without words have target 0 and no
+source. Blocks are cut from the run; how many there are changes nothing in it. Defined cases: null or blank texts have size 0 and are never words; sources without words have target 0 and no
 copies; repeated rows are rows of their own; an empty table gives an empty result.
 """
 
@@ -22,7 +22,7 @@ WEIGHTS = (5, 2, 1)
 SHARE = (3, 2)  # 150 %
 CAP = 2
 SEED = "mix-1"
-#: Rows that a block of one size class should hold at most; blocks are split by hash digits.
+#: Rows that a block of one size should hold at most; blocks are split by hash digits.
 BLOCK_ROWS = 4096
 
 
@@ -37,11 +37,6 @@ def hash_of(doc_id: str) -> Column:
     return F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit("null")))
 
 
-def size_class(size: str) -> Column:
-    bits = F.bin(F.col(size))
-    return F.concat(F.lpad(F.length(bits).cast("string"), 2, "0"), F.substring(bits, 1, 4))
-
-
 def targets(sizes: DataFrame) -> DataFrame:
     """Per source: key, source_size, target, n_docs. One row a source; the sources of a mix are named in its settings."""
     per = store.keep(sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs")), "sources")
@@ -70,19 +65,19 @@ def copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source:
     )
     slim = store.keep(slim, "sizes")
     digits = digits_for(slim.count())
-    keyed = slim.withColumn("hash", hash_of("doc_id")).withColumn("class", size_class("size")).withColumn("part", F.substring("hash", 1, digits))
+    keyed = slim.withColumn("hash", hash_of("doc_id")).withColumn("class", F.col("size")).withColumn("part", F.substring("hash", 1, digits))
     key = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null"))
     keyed = keyed.withColumn("key", key)
     blocks = keyed.groupBy("key", "class", "part").agg(F.count(F.lit(1)).alias("rows"))
-    # Prefix sums over blocks in two steps: within a size class, and over the classes of a source.
+    # Prefix sums over blocks in two steps: within a size, and over the sizes of a source (no more than a text has words).
     of_class = Window.partitionBy("key", "class").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     classes = blocks.groupBy("key", "class").agg(F.sum("rows").alias("class_rows"))
     of_key = Window.partitionBy("key").orderBy(F.desc("class")).rowsBetween(Window.unboundedPreceding, -1)
     classes = classes.withColumn("class_start", F.coalesce(F.sum("class_rows").over(of_key), F.lit(0)))
     per = targets(slim).withColumn("key", key).drop("source").withColumn("offset", F.conv(F.substring(F.md5(F.concat(F.lit(SEED), F.col("key"))), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0))
-    starts = blocks.withColumn("block_start", F.coalesce(F.sum("rows").over(of_class), F.lit(0))).join(classes, ["key", "class"]).join(F.broadcast(per), "key")
+    starts = blocks.withColumn("block_start", F.coalesce(F.sum("rows").over(of_class), F.lit(0))).join(classes, ["key", "class"]).join(F.broadcast(per) if per.count() <= store.BROADCAST_ROWS else per, "key")
     starts = starts.select("key", "class", "part", (F.col("class_start") + F.col("block_start")).alias("start"), "source_size", "target", "offset")
-    inside = Window.partitionBy("key", "class", "part").orderBy(F.desc("size"), "hash", "doc_id")
+    inside = Window.partitionBy("key", "class", "part").orderBy("hash", "doc_id", *carry)
     ranked = keyed.withColumn("nth", F.row_number().over(inside)).join(starts, ["key", "class", "part"])
     expected = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     place = F.col("start") + F.col("nth")
@@ -96,19 +91,20 @@ def mixed(docs: DataFrame) -> DataFrame:
     Copies are counted on slim rows and met with the texts once, on doc_id; where ids are null or repeated, rows are
     written with a number of their own first.
     """
+    key, copy = store.fresh_name(docs, "_key"), store.fresh_name(docs, "_copy")
     if store.keyed(docs)[1]:
         named, row = docs, "doc_id"
-        n = copies(docs).select(F.col("doc_id").alias("_key"), "n_copies")
+        n = copies(docs).select(F.col("doc_id").cast("long").alias(key), "n_copies")
     else:
         row = store.fresh_name(docs, "_row")
         named = store.keep(docs.withColumn(row, F.monotonically_increasing_id()), "mix-rows")
-        n = copies(named, carry=(row,)).select(F.col(row).alias("_key"), "n_copies")
-    each = n.filter("n_copies > 0").select("_key", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_copies"))).alias("_copy"))
-    out = named.join(each, F.col(f"`{row}`").cast("long") == F.col("_key"))
+        n = copies(named, carry=(row,)).select(F.col(row).alias(key), "n_copies")
+    each = n.filter("n_copies > 0").select(key, F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_copies"))).alias(copy))
+    out = named.join(each, F.col(f"`{row}`").cast("long") == F.col(key))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op4_mix_sources(spark, sf_dir: str) -> DataFrame:
     docs = store.text_columns(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text", "source")
-    out = copies(docs)
+    out = store.result(spark, lambda: copies(docs), "copies")
     return out.select("doc_id", "size", "source_size", "target", (F.col("n_copies") * F.col("size")).alias("taken"))

@@ -24,10 +24,8 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
 FROM q JOIN verdict USING (host)
 """
 
-_BIN = "bin(size)"
 MIX = rf"""
 WITH d AS (SELECT doc_id, source, coalesce('=' || source, 'null') AS key, CAST(len({_WORDS}) AS BIGINT) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), 'null')) AS hash FROM documents),
-n AS (SELECT CASE WHEN count(*) <= 65536 THEN 1 WHEN count(*) <= 1048576 THEN 2 WHEN count(*) <= 16777216 THEN 3 ELSE 4 END AS digits FROM d),
 s AS (SELECT key, source, sum(size) AS source_size, ([5, 2, 1])[CAST((row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1 AS INTEGER)] AS weight FROM d GROUP BY 1, 2),
 u AS (SELECT *, {mixing.SHARE[0]} * sum(source_size) OVER () - {mixing.SHARE[1] * mixing.CAP} * coalesce(sum(source_size) OVER before, 0) AS up, {mixing.SHARE[1]} * (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0)) AS down
   FROM s WINDOW before AS (ORDER BY CAST(source_size AS DOUBLE) / weight, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
@@ -35,7 +33,7 @@ v AS (SELECT *, weight * up > {mixing.CAP} * source_size * down AS full_up FROM
 t AS (SELECT key, source_size, CASE WHEN full_up THEN CAST({mixing.CAP} * source_size AS DOUBLE) ELSE CAST(weight * (SELECT max_by(up, down) FROM v WHERE NOT full_up) AS DOUBLE) / CAST((SELECT max(down) FROM v WHERE NOT full_up) AS DOUBLE) END AS target,
   CAST(CAST('0x' || substr(md5('{mixing.SEED}' || key), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296.0 AS shift FROM v),
 r AS (SELECT d.doc_id, d.size, t.source_size, t.target, t.shift, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0 END AS expected,
-  row_number() OVER (PARTITION BY d.key ORDER BY lpad(CAST(length({_BIN}) AS VARCHAR), 2, '0') || substr({_BIN}, 1, 4) DESC, substr(hash, 1, (SELECT digits FROM n)), size DESC, hash, doc_id) AS place FROM d JOIN t USING (key))
+  row_number() OVER (PARTITION BY d.key ORDER BY size DESC, hash, doc_id) AS place FROM d JOIN t USING (key))
 SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, target, CAST((floor(shift + expected * place) - floor(shift + expected * (place - 1))) * size AS BIGINT) AS taken FROM r
 """
 

@@ -122,23 +122,22 @@ def keep_good(docs: DataFrame) -> DataFrame:
     Measures are written before any verdict is read off them: a condition on them must not be pushed into their own
     making. With unique ids only slim rows are written, and only texts whose id may be a rejected one are shuffled.
     """
-    spark, mark = docs.sparkSession, store.mark()
+    spark = docs.sparkSession
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    q = store.fresh_name(docs, "_quality")
-    kept = store.fresh_name(docs, "_kept")
+    q, kept, lost = (store.fresh_name(docs, x) for x in ("_quality", "_kept", "_gone"))
     if not store.keyed(docs)[1]:
         table = store.keep(measured(docs, out=q), "quality")
         return with_verdicts(table, q=q, out=kept).filter(F.col(kept)).select(*columns)
-    slim = store.keep(measured(docs, out=q).select("doc_id", "source", q), "quality")
-    gone = store.keep(with_verdicts(slim, q=q, out=kept).filter(~F.col(kept)).select(F.col("doc_id").cast("long").alias("id")), "rejected")
-    store.release(spark, mark, gone)
-    doubtful, sure = store.split(docs, "doc_id", gone)
-    good = doubtful.join(gone.select(F.col("id").alias("_gone")), F.col("doc_id") == F.col("_gone"), "left_anti")
+    with store.tables(spark) as own:
+        slim = store.keep(measured(docs, out=q).select("doc_id", "source", q), "quality")
+        gone = store.keep(with_verdicts(slim, q=q, out=kept).filter(~F.col(kept)).select(F.col("doc_id").cast("long").alias(lost)), "rejected")
+        own.release(gone)
+    doubtful, sure = store.split(docs, "doc_id", gone, lost)
+    good = doubtful.join(gone, F.col("doc_id").cast("long") == F.col(lost), "left_anti")
     return sure.select(*columns).union(good.select(*columns))
 
 
 def op10_quality_rules(spark, sf_dir: str) -> DataFrame:
     docs = store.text_columns(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text", "source")
-    table = store.keep(measured(docs).select("doc_id", "source", "quality"), "quality")
-    out = with_verdicts(table)
+    out = store.result(spark, lambda: with_verdicts(store.keep(measured(docs).select("doc_id", "source", "quality"), "quality")), "verdicts")
     return out.select("doc_id", *[F.col(f"quality.{m}").alias(m) for m in MEASURES], (F.col("quality.short") | F.col("quality.repeats")).alias("base_failed"), "kept")

@@ -6,6 +6,8 @@ import os
 import tempfile
 import uuid
 import zipfile
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,11 +24,15 @@ _shipped: set[str] = set()
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    It is the session's checkpoint folder; one is set only where the session has none (tests, local runs).
+    It is the session's checkpoint folder; a temporary one is made only where the session has none and everything runs in
+    one process (tests, local runs).
     """
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="heddle-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and sc.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="heddle-"))
     return sc.getCheckpointDir()
 
 
@@ -34,33 +40,63 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-#: Paths of the tables that keep() wrote, so that release() can delete those of no more use.
-_paths: list[str] = []
+class Tables:
+    """The tables that one call has written."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def release(self, *needed: DataFrame) -> None:
+        """Deletes the tables, but for those needed."""
+        stay = {getattr(df, "_heddle_path", None) for df in needed}
+        for path in self.paths:
+            if path not in stay:
+                p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+                p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        self.paths = [p for p in self.paths if p in stay]
+
+
+#: The tables of the call that runs in this thread; each thread has its own.
+_tables: ContextVar[Tables | None] = ContextVar("heddle_tables", default=None)
+
+
+@contextmanager
+def tables(spark: SparkSession):
+    """What keep() writes inside can be released; what is left at the end belongs to the call around, if there is one."""
+    outer, own = _tables.get(), Tables(spark)
+    token = _tables.set(own)
+    try:
+        yield own
+    finally:
+        _tables.reset(token)
+        if outer is not None:
+            outer.paths += own.paths
 
 
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it again: lineage is cut, a lost executor costs nothing."""
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    _paths.append(path)
+    own = _tables.get()
+    if own is not None:
+        own.paths.append(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._heddle_path = path
     return out
 
 
-def mark() -> int:
-    """Where release() is to begin."""
-    return len(_paths)
+def result(spark: SparkSession, make, name: str) -> DataFrame:
+    """The written table of make(), whose own tables are deleted."""
+    with tables(spark) as own:
+        out = keep(make(), name)
+        own.release(out)
+    return out
 
 
-def release(spark: SparkSession, since: int, *needed: DataFrame) -> None:
-    """Deletes the tables that were kept since a mark, but for those needed."""
-    stay = {getattr(df, "_heddle_path", None) for df in needed}
-    for path in _paths[since:]:
-        if path not in stay:
-            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    _paths[since:] = [p for p in _paths[since:] if p in stay]
+def parts_for(df: DataFrame, bytes_a_part: int = 256 << 20) -> int:
+    """Shuffle partitions for rows as wide as the input's: the session's number, or more where the files are larger."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(1 << 20, -(-size // bytes_a_part)))
 
 
 #: Ids are told apart by so many hash buckets before they are met exactly; the bucket table is broadcast, and this is

@@ -548,19 +548,21 @@ def removed(docs: DataFrame) -> DataFrame:
 
     Documents of which no word is left go; those without a cut stay as they are, empty ones too.
     """
-    spark, mark = docs.sparkSession, store.mark()
+    spark = docs.sparkSession
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    if store.keyed(docs)[1]:
-        named, row = docs, "doc_id"
-    else:
-        row = store.fresh_name(docs, "_row")
-        named = store.keep(docs.withColumn(row, F.monotonically_increasing_id()), "substring-rows")
-    spans = passages(named, doc_id=row)
-    per = spans.groupBy("id").agg(F.collect_list(F.struct("start", "end")).alias("_spans"))  # no more than a text has seeds
-    per = store.keep(per, "cuts")
-    store.release(spark, mark, named, per)
-    doubtful, sure = store.split(named, row, per)
-    met = doubtful.join(per.select(F.col("id").alias("_cut_id"), "_spans"), F.col(f"`{row}`").cast("long") == F.col("_cut_id"), "left").select(*columns, "_spans")
+    cuts, cut_id = store.fresh_name(docs, "_spans"), store.fresh_name(docs, "_cut_id")
+    with store.tables(spark) as own:
+        if store.keyed(docs)[1]:
+            named, row = docs, "doc_id"
+        else:
+            row = store.fresh_name(docs, "_row")
+            named = store.keep(docs.withColumn(row, F.monotonically_increasing_id()), "substring-rows")
+        spans = passages(named, doc_id=row)
+        per = spans.groupBy(F.col("id").alias(cut_id)).agg(F.collect_list(F.struct("start", "end")).alias(cuts))  # no more than a text has seeds
+        per = store.keep(per, "cuts")
+        own.release(named, per)
+    doubtful, sure = store.split(named, row, per, cut_id)
+    met = doubtful.join(per, F.col(f"`{row}`").cast("long") == F.col(cut_id), "left").select(*columns, cuts)
     place, size = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
     def run(batches):
@@ -572,10 +574,13 @@ def removed(docs: DataFrame) -> DataFrame:
             yield cut.filter(pa.array([bool(t.strip(store.BLANKS)) for t in texts], pa.bool_()))
 
     store.small_batches(spark)
-    changed = met.filter("_spans is not null").mapInArrow(run, docs.select(*columns).schema)
-    return sure.select(*columns).union(met.filter("_spans is null").select(*columns)).union(changed)
+    changed = met.filter(F.col(cuts).isNotNull()).mapInArrow(run, docs.select(*columns).schema)
+    return sure.select(*columns).union(met.filter(F.col(cuts).isNull()).select(*columns)).union(changed)
 
 
 def op8_repeated_passages(spark, sf_dir: str) -> DataFrame:
-    out = passages(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    with store.tables(spark) as own:
+        out = passages(docs)
+        own.release(out)
     return out.select(F.col("id").alias("doc_id"), F.col("start").alias("start_word"), F.col("end").alias("end_word"), F.col("ref_id").alias("first_doc_id"), F.col("ref_start").alias("first_start_word"), F.col("ref_end").alias("first_end_word"), (F.col("end") - F.col("start")).alias("n_words"), F.col("equal").alias("n_equal"))

@@ -160,7 +160,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer_json: str, end_id: int = END
             row, start = row + len(ids), int(ends[-1]) if len(ids) else start
 
     df = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = store.parts_for(df)
     tie = F.xxhash64("text")
     df = df.repartitionByRange(parts, F.col("doc_id").asc(), tie).sortWithinPartitions("doc_id", tie, "text")
     df.mapInArrow(run, SCHEMA).write.options(**ORC).mode("error").orc(path)

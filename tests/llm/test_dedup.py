@@ -66,6 +66,25 @@ def test_near_duplicates_odd_and_empty(odd, none):
     assert minhash.near_duplicates(none).collect() == [] and minhash.keep_one(none).collect() == []
 
 
+def test_rows_of_one_id_have_the_links_of_each_text(spark):
+    rng = random.Random(33)
+    x, y, other = prose(rng, 100), prose(rng, 100), prose(rng, 100)
+    rows = [(5, x), (5, y), (7, x + " one"), (9, y + " one"), (1, "one " + x), (20, other), (None, other)]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["id"], r["component"]) for r in got if r["id"] is not None) == [(1, 1), (5, 1), (5, 1), (7, 1), (9, 1), (20, 20)]
+    assert [r["component"] for r in got if r["id"] is None] == [None]
+    rows = [(-1, other), (None, x), (-2, y), (None, x + " one"), (4, x + " two")]
+    kept = [(r[0], r[1]) for r in minhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(kept, key=str) == sorted([(-1, other), (-2, y), (4, x + " two")], key=str)
+
+
+def test_components_of_very_large_ids(spark):
+    top = 2**62
+    edges = [(top + i, top + i + 1) for i in range(12)]
+    got = {r["id"]: r["component"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {top + i: top for i in range(1, 13)}
+
+
 def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, i) for i in range(101, 140)] + [(7, 7)]
     got = {r["id"]: r["component"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -171,6 +190,73 @@ def test_fuzzy_passages_with_every_tenth_word_changed(spark):
     assert {(r["id"], r["ref_id"]) for r in got} == {(2 * k + 1, 2 * k) for k in range(20)}
 
 
+def _best_local(x, y):
+    """Brute force: (words of x, of y, equal words) of the best local alignment, +1 a match, -3 a gap or mismatch."""
+    best, rows = (0, 0, 0), [[(0, 0, 0, 0)] * (len(y) + 1)]  # score, begin in x, begin in y, equal
+    for i, a in enumerate(x):
+        row = [(0, i + 1, 0, 0)]
+        for j, b in enumerate(y):
+            old = rows[-1][j]
+            options = [(old[0] + 1, old[1], old[2], old[3] + 1) if a == b else (old[0] - 3, *old[1:])]
+            options += [(o[0] - 3, *o[1:]) for o in (rows[-1][j + 1], row[j])]
+            cell = max(options)
+            row.append(cell if cell[0] > 0 else (0, i + 1, j + 1, 0))
+            if row[-1][0] > best[0]:
+                best, where = (row[-1][0], 0, 0), (row[-1][1], i + 1, row[-1][2], j + 1, row[-1][3])
+        rows.append(row)
+    return where if best[0] else (0, 0, 0, 0, 0)
+
+
+def test_all_rows_against_brute_force(spark):
+    rng = random.Random(31)
+    pool = [prose(rng, n, 900).split() for n in (55, 70, 90)]
+
+    def edited(words):
+        out = []
+        for w in words:
+            r = rng.random()
+            out += [] if r < 0.02 else ["x%d" % rng.randrange(10**6)] if r < 0.06 else [w, "y"] if r < 0.08 else [w]
+        return out
+
+    rows = []
+    for k in range(18):
+        parts = [edited(rng.choice(pool)) if rng.random() < 0.5 else prose(rng, 25, 900).split() for _ in range(3)]
+        rows.append((k, " ".join(w for part in parts for w in part)))
+    texts = {k: t.split() for k, t in rows}
+    covered = {}
+    for r in substring.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        x, y = texts[r["id"]][r["start"] : r["end"]], texts[r["ref_id"]][r["ref_start"] : r["ref_end"]]
+        row = [0] * (len(y) + 1)
+        for a in x:
+            last = row[:]
+            for j, b in enumerate(y):
+                row[j + 1] = last[j] + 1 if a == b else max(last[j + 1], row[j])
+        assert r["ref_id"] < r["id"] and len(x) >= 50 and r["equal"] <= row[-1] and r["equal"] >= 0.75 * max(len(x), len(y))
+        covered.setdefault(r["id"], set()).update(range(r["start"], r["end"]))
+    wanted = found = 0
+    for i in texts:
+        for k in range(i):
+            a, b, c, d, equal = _best_local(texts[i], texts[k])
+            if b - a >= 50 and equal >= 0.85 * max(b - a, d - c):
+                wanted += 1
+                found += len(covered.get(i, set()) & set(range(a, b))) >= 0.8 * (b - a)
+    assert wanted > 20 and found >= 0.95 * wanted
+
+
+def test_recall_of_changed_passages(spark):
+    rng, rows = random.Random(32), []
+    cases = [(60, 0.10), (100, 0.20)]
+    for c, (size, rate) in enumerate(cases):
+        for k in range(60):
+            words = prose(rng, size).split()
+            changed = ["x%d" % rng.randrange(10**6) if rng.random() < rate else w for w in words]
+            rows += [(1000 * c + 2 * k, prose(rng, 40) + " " + " ".join(words)), (1000 * c + 2 * k + 1, " ".join(changed) + " " + prose(rng, 40))]
+    got = substring.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    for c, (size, _) in enumerate(cases):
+        hits = {r["id"] for r in got if r["id"] // 1000 == c and r["id"] % 2 and r["ref_id"] == r["id"] - 1 and min(r["end"], size) - r["start"] >= size / 2}
+        assert len(hits) >= 54
+
+
 def test_substring_odd_and_empty(odd, none):
     out = substring.removed(odd)
     assert out.columns == odd.columns
