@@ -145,10 +145,13 @@ def met_first(seeds: DataFrame, name: str) -> DataFrame:
     The first occurrences are map-side minima that are written before they are joined with the written seeds, so that the
     join of a seed with very many occurrences can be split.
     """
-    seeds = store.keep(seeds, name + "-seeds")
-    first = seeds.groupBy("seed").agg(F.min(F.struct("id", "pos")).alias("first"), F.max("id").alias("last")).filter("last <> first.id")
-    anchors = store.keep(first.select("seed", F.col("first.id").alias("ref_id"), F.col("first.pos").alias("ref_pos")), name + "-anchors")
-    return store.keep(seeds.join(anchors, "seed").select("id", "pos", "ref_id", "ref_pos"), name)
+    with store.tables(seeds.sparkSession) as own:
+        seeds = store.keep(seeds, name + "-seeds")
+        first = seeds.groupBy("seed").agg(F.min(F.struct("id", "pos")).alias("first"), F.max("id").alias("last")).filter("last <> first.id")
+        anchors = store.keep(first.select("seed", F.col("first.id").alias("ref_id"), F.col("first.pos").alias("ref_pos")), name + "-anchors")
+        out = store.keep(seeds.join(anchors, "seed").select("id", "pos", "ref_id", "ref_pos"), name)
+        own.release(out)
+    return out
 
 
 class Fenwick:
