@@ -19,6 +19,29 @@ SIGNATURE_MARKS = r"（）《》「」【】，。、；：？！\"'·—"
 #: Three stop lists for content characters; callers choose.
 STOP_MERGE = "的了和与及或在是有能会把用从对将为等其这那一个中上下"
 MODAL = r"^(能够|能|会|学会)"
+# Running heads and page numbers, labels, verbs, openers and noise around requirements, names of grades.
+RUNNING_HEAD = "普\\s*通\\s*高\\s*中[^）]{0,24}课\\s*程\\s*标\\s*准\\s*（?\\s*2\\s*0?\\s*1?\\s*7?[^）]{0,20}）?"
+PAGE_NUMBER = "^\\s*(\\d{1,3}|[│|]\\s*.{0,20}\\s*[│|])\\s*$"
+COURSE_LABELS = (
+    "选择性必修", "选修", "必修", "理解性技能", "表达性技能", "元认知策略", "认知策略", "交际策略", "情感管理策略", "资源策略",
+    "语言知识", "文化知识", "学习策略", "语言技能", "主题", "语篇", "听", "说", "读", "写", "译", "看",
+)
+REQUIREMENT_VERBS = (
+    "了解", "知道", "理解", "认识", "掌握", "会", "能", "运用", "应用", "说明", "解释", "描述", "分析", "比较", "判断", "设计", "制作",
+    "操作", "探究", "计算", "测量", "表达", "交流", "评价", "举例", "列举", "识别", "归纳", "论证", "感受", "体会", "说出", "指出",
+)
+OPENERS = (
+    "能", "会", "通过", "根据", "在", "用", "利用", "结合", "尝试", "初步", "正确", "独立", "主动", "积极", "进一步", "学会", "熟悉", "关注", "养成",
+    "选择", "收集", "整理", "观察", "发现", "完成", "参与", "合作", "遵守", "针对", "围绕", "以", "从", "对", "把", "将", "借助",
+)
+SPLIT_VERBS = ("能", "会", "可以", "理解", "掌握", "知道", "了解", "说出", "描述", "解释", "计算", "比较", "判断", "运用", "应用", "设计", "制作", "识别", "区分", "归纳", "分析")
+GLUE_VERBS = ("根据", "用", "在", "通过", "结合", "借助", "选择", "利用", "运用")
+NUMBERED_VERBS = ("列举", "概述", "举例", "说明", "描述", "分析", "比较", "关注", "注重", "根据", "理解", "掌握", "运用", "设计", "制作", "能", "会")
+LEAD_NOISE = "^(?:[\\s·•●○◇\\-—]|[）)]|[（(]\\s*[^）)]{0,40}[）)]|\\d+(?:\\.\\d+)*\\s*[-–.、)]|\\d{1,2}(?=(?:" + "|".join(NUMBERED_VERBS) + ")))+\\s*"
+BLOCK_MARK = "^【[^】]{2,8}】\\s*"
+FORMULA = "\\$([^$]{1,30})\\$"
+SLOGAN = "[，,]?(?:形成|发展|增强|提高|培养|感悟|体会|养成|逐步形成)[^，。；]*(?:意识|观念|能力|素养|精神|态度|习惯)。?$"
+GRADE_WORDS = ("一", "二", "三", "四", "五", "六", "七", "八", "九", "高一", "高二", "高三")
 
 
 @F.pandas_udf(StringType())
@@ -102,14 +125,30 @@ def ambiguous_key(title: Column, first_line: Column, n_same: Column) -> Column:
 
 
 def vote_key(c: Column) -> Column:
-    """Of entries of a word list: lower case, without word classes, remarks in brackets and marks."""
-    return F.trim(_sub(F.lower(c), (r"\([^)]*\)", " "), (r"\b(n|v|vt|vi|adj|adv|prep|conj|pron|num|art|int|aux)\.", " "), (r"[^a-z'\-\s]+", " "), (r"\s+", " ")))
+    """Of entries of a word list: lower case, single blanks, none around brackets and slashes, no stars at the end.
+
+    What brackets hold stays: `colour (AmE color)` and `colour(AmE color)` are one entry.
+    """
+    tight = _sub(F.lower(trimmed(c)), (r"(?U)\s+", " "), (r"\s*([(（/])\s*", "$1"), (r"\s*([)）])", "$1"), (r"[*＊ ]+\z", ""))
+    return trimmed(tight)
+
+
+def comparison_key(c: Column) -> Column:
+    """Of transcripts: without blanks, ASCII marks as full-width ones, no stop at the end."""
+    return _sub(F.translate(_sub(c, (r"(?U)\s+", "")), ",;:().", "，；：（）。"), ("[。；]+\\z", ""))
 
 
 def half_width(c: Column) -> Column:
-    """Full-width digits, letters and marks as ASCII, private-use characters gone."""
-    full = "".join(chr(k) for k in range(0xFF01, 0xFF5F))
-    return _sub(F.translate(c, full + "　", "".join(chr(k) for k in range(0x21, 0x7F)) + " "), (r"[-]", ""))
+    """Full-width digits, letters, stop and blank as ASCII, private-use characters gone; other marks stay."""
+    ascii_ = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz."
+    full = "".join(chr(ord(x) + 0xFEE0) for x in ascii_)
+    return _sub(F.translate(c, full + "\u3000\u2003", ascii_ + "  "), ("[\ue000-\uf8ff]", ""))
+
+
+def page_lines(c: Column) -> Column:
+    """Lines of a page as an array, in half width; running heads go wherever they stand, and lines of a page number only."""
+    each = F.transform(F.split(c, "\n"), lambda x: trimmed(_sub(half_width(x), (RUNNING_HEAD, ""))))
+    return F.filter(each, lambda x: (x != "") & ~x.rlike(PAGE_NUMBER))
 
 
 def sentences(c: Column) -> Column:
@@ -123,24 +162,52 @@ def clauses(c: Column, verbs: tuple[str, ...]) -> Column:
 
 
 def labels_stripped(c: Column) -> Column:
-    """Without numbering and short labels at the beginning, however many there are."""
-    return _sub(trimmed(c), (r"^(?:(?:[（(]?[0-9一二三四五六七八九十]+[）).、．]|[①-⑳]|[^，。：；]{1,8}：)\s*)+", ""))
+    """Without course types, skill labels and numbers glued to the beginning, however many there are."""
+    return trimmed(_sub(c, (r"(?U)^(?:" + "|".join(COURSE_LABELS) + r"|\d+\s*[.．、]|[：:，、 ]|\s)+", "")))
 
 
-def literacy_tags(c: Column, vocabulary: tuple[str, ...]) -> Column:
-    """The vocabulary's words in the brackets at the end or beginning of a text."""
-    said = F.concat(F.regexp_extract(c, "^[（【(]([^）】)]*)[）】)]", 1), F.regexp_extract(c, r"[（【(]([^）】)]*)[）】)]\s*\z", 1))
-    return F.filter(F.array(*[F.lit(v) for v in vocabulary]), lambda v: said.contains(v))
+def leading_tags(c: Column, vocabulary: tuple[str, ...]) -> Column:
+    """struct(rest, tags): the vocabulary's words in a bracket at the beginning, and the text after it.
 
+    A bracket without any of them is part of the text.
+    """
+    s = trimmed(c)
+    bracket = F.regexp_extract(s, "^([（(][^）)]{2,40}[）)])", 1)
+    tags = F.filter(F.array(*[F.lit(v) for v in vocabulary]), lambda v: bracket.contains(v))
+    return F.when(F.size(tags) > 0, F.struct(trimmed(F.substring(s, F.length(bracket) + 1, F.length(s))).alias("rest"), tags.alias("tags"))).otherwise(F.struct(c.alias("rest"), tags.alias("tags")))
 
-def object_after(statement: Column, verb: Column, most: int = 40) -> Column:
+
+def object_after(statement: Column, verb: Column, most: int = 40, both_ends: bool = False) -> Column:
+    """What follows the verb (the whole statement without one, or with nothing after it), cut to `most` characters.
+
+    Particles and commas at its beginning go; both_ends: marks and blanks at either end go instead.
+    """
     at = F.instr(statement, verb)
     rest = F.when(at > 0, F.substring(statement, at + F.length(verb), F.length(statement))).otherwise(statement)
-    return F.substring(_sub(rest, (r"(?U)^[\s，。、；：]+|[\s，。、；：]+\z", "")), 1, most)
+    if both_ends:
+        rest = F.when(at > 0, _sub(rest, ("^[，。；、 ]+|[，。；、 ]+\\z", ""))).otherwise(rest)
+    else:
+        rest = trimmed(_sub(rest, ("^[的地得，,、]+", "")))
+    return F.substring(F.when(rest != "", rest).otherwise(statement), 1, most)
+
+
+def opens_well(c: Column) -> Column:
+    """Whether a requirement begins with a word that one may begin with (and not in the middle of a word)."""
+    return c.rlike("^(?:" + "|".join(REQUIREMENT_VERBS + OPENERS) + ")")
+
+
+def requirements(c: Column) -> Column:
+    """The single requirements of a sentence as an array: cut at semicolons, before verbs after a comma, and where two are
+    glued together; marks, numbers and whole brackets before them and slogans after them go, and parts of under 6 characters."""
+    edges = lambda x: _sub(x, ("^[ ，,。]+|[ ，,。]+\\z", ""))
+    verbs = "|".join(SPLIT_VERBS)
+    cut = F.split(_sub(trimmed(c), ("。+\\z", "")), f"[；;]|(?<=[，,])(?=(?:{verbs})[^，。；]{{2,}})|(?<=[一-龥]{{2}})(?=(?:能|会)(?:{'|'.join(GLUE_VERBS)})[^，。；]{{2,}})")
+    bare = lambda x: edges(_sub(edges(x), (BLOCK_MARK, ""), (FORMULA, "$1"), (LEAD_NOISE, ""), (SLOGAN, "")))
+    return F.filter(F.transform(cut, bare), lambda x: F.length(x) >= 6)
 
 
 def with_can(c: Column) -> Column:
-    return F.when(c.rlike("^(能|会|学会|能够)"), c).otherwise(F.concat(F.lit("能"), c))
+    return F.when(c.rlike("^[能会]"), c).otherwise(F.concat(F.lit("能"), c))
 
 
 def cut(c: Column, n: int) -> Column:
@@ -186,13 +253,28 @@ def grade_number(c: Column) -> Column:
 
 
 def stage_band(c: Column) -> Column:
-    """struct(min, max) of a stage named as 第N学段 or a~b年级."""
-    digit = lambda s: F.when(s.rlike("^[0-9]+$"), s.try_cast("int")).otherwise(F.nullif(F.instr(F.lit("一二三四五六七八九"), s), F.lit(0)))
-    nth = F.regexp_extract(c, "第([一二三四1-4])学段", 1)
-    k = digit(nth)
-    lo, hi = F.regexp_extract(c, "([一二三四五六七八九1-9])\\s*[~～—–\\-至到]\\s*([一二三四五六七八九1-9])\\s*年级", 1), F.regexp_extract(c, "([一二三四五六七八九1-9])\\s*[~～—–\\-至到]\\s*([一二三四五六七八九1-9])\\s*年级", 2)
-    by_stage = F.struct(F.when(k == 1, 1).when(k == 2, 3).when(k == 3, 5).when(k == 4, 7).alias("min"), F.when(k == 1, 2).when(k == 2, 4).when(k == 3, 6).when(k == 4, 9).alias("max"))
-    return F.when(lo != "", F.struct(digit(lo).alias("min"), digit(hi).alias("max"))).when(nth != "", by_stage)
+    """struct(min, max) of the band in which a stage named as G3-5, 第N学段 or a~b年级 begins; null for others."""
+    s = trimmed(c)
+    bands = {1: (1, 2), 3: (3, 4), 5: (5, 6), 7: (7, 9)}
+    band = lambda k: F.struct(*[F.lit(x).alias(n) for x, n in zip(bands[k], ("min", "max"), strict=True)])
+    plain = F.regexp_extract(s, r"^G?(\d)\s*[-~～]\s*G?\d\z", 1)
+    named, years = F.regexp_extract(s, "第([一二三四])学段", 1), F.regexp_extract(s, r"(\d)\s*[~～-]\s*\d\s*年级", 1)
+    first = F.regexp_extract(s, r"第[一二三四]学段|\d\s*[~～-]\s*\d\s*年级", 0).startswith("第")
+    out = F.when((plain != "") & (plain == "0"), None)
+    for k, (lo, hi) in bands.items():
+        out = out.when((plain >= str(lo)) & (plain <= str(hi)) & (plain != ""), band(k))
+    for k, word in zip(bands, "一二三四", strict=True):
+        out = out.when((plain == "") & first & (named == word), band(k)).when((plain == "") & ~first & (years == str(k)), band(k))
+    return out
+
+
+def stage_words(lo: Column, hi: Column) -> Column:
+    """A stage in words for people: 三年级, 全学段, 三到四年级, 高一–高二年级; 学段未定 without both ends."""
+    word = lambda n: F.coalesce(F.element_at(F.array(*[F.lit(x) for x in GRADE_WORDS]), F.when(n.between(1, 12), n)), n.cast("string"))
+    return (
+        F.when(lo.isNull() | hi.isNull(), "学段未定").when(lo == hi, F.concat(word(lo), F.lit("年级"))).when((lo == 1) & (hi == 9), "全学段")
+        .when(hi <= 9, F.concat(word(lo), F.lit("到"), word(hi), F.lit("年级"))).otherwise(F.concat(word(lo), F.lit("–"), word(hi), F.lit("年级")))
+    )
 
 
 def first_section(title: Column, table: list[tuple[str, str]]) -> Column:
@@ -223,11 +305,16 @@ def hash_prefix(c: Column, digits: int = 16) -> Column:
 
 
 @F.pandas_udf(StringType())
-def document_number(s: pd.Series) -> pd.Series:
-    """The last eight hex digits of blake2s, in capitals."""
+def _number_tail(s: pd.Series) -> pd.Series:
     import hashlib
 
-    return s.map(lambda x: None if x is None else hashlib.blake2s(x.encode(), digest_size=8).hexdigest()[-8:].upper())
+    return s.map(lambda x: hashlib.blake2s(x.encode(), digest_size=3).hexdigest()[:5].upper())
+
+
+def document_number(student: Column, title: Column, stage: Column, issued_on: Column) -> Column:
+    """DZ-yymmdd-xxxxx: the day, and five digits that the same work always gets."""
+    seed = F.concat_ws("|", *[F.coalesce(c, F.lit("")) for c in (student, title, stage)])
+    return F.concat(F.lit("DZ-"), F.substring(F.replace(issued_on, F.lit("-"), F.lit("")), 3, 100), F.lit("-"), _number_tail(seed))
 
 
 @F.pandas_udf(DoubleType())

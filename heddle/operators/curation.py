@@ -79,25 +79,53 @@ def accepted_proposals(proposals: DataFrame, most: int = 3, most_cross: int = 2,
     return ok.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= F.when(F.col("cross"), most_cross).otherwise(most)).drop("_n")
 
 
-def dispute_outcome(verdict: Column, lo: Column, hi: Column, source_lo: Column, source_hi: Column, gate_ok: Column, human: Column) -> Column:
-    """What becomes of a disputed anchor, first match."""
-    stage_known = source_lo.isNotNull() & source_hi.isNotNull()
+#: Issues that a stage does not settle, and those that the gate decides too; the bands of most disciplines.
+OTHER_ISSUES = ("undecidable", "not-a-capability", "evidence-weak", "truncated")
+GATE_ISSUES = ("undecidable", "not-a-capability")
+STANDARD_BANDS = {1: (1, 2), 2: (3, 4), 3: (5, 6), 4: (7, 9)}
+
+
+def dispute_outcome(issues: Column, gate_ok: Column, lo: Column, hi: Column, source_lo: Column, source_hi: Column) -> Column:
+    """What becomes of a disputed anchor, first match. issues: the kinds of objection; source: the band that its source names.
+
+    A statement that gate and objection both reject is deprecated; one that the gate rejects stays disputed. An objection to
+    a stage that equals the source's is withdrawn, a narrower stage is restored to it, another is a conflict for people.
+    """
+    any_of = lambda kinds: F.exists(issues, lambda i: i.isin(*kinds))
+    about = any_of(["stage"]) & source_lo.isNotNull() & source_hi.isNotNull() & lo.isNotNull() & hi.isNotNull()
     inside = (lo >= source_lo) & (hi <= source_hi)
     return first_match(
-        [(~gate_ok, "keep: gate"), (human, "keep: human"), (verdict.isNull(), "keep: no verdict"), ((verdict == "stage") & ~stage_known, "keep: no source stage"), ((verdict == "stage") & inside, "release: stage was right"), (verdict == "stage", "repair stage")],
-        "release",
-    )
+        [
+            (~gate_ok & any_of(GATE_ISSUES), "deprecate"),
+            (~gate_ok, "keep: gate"),
+            (about & ~inside, "keep: stage conflict"),
+            (about & any_of(OTHER_ISSUES), "keep: other issues"),
+            (about & (lo == source_lo) & (hi == source_hi), "release: stage was right"),
+            (about, "release: stage restored"),
+        ],
+        "keep: unresolved",
+    )
 
 
 def restored_stage(anchors: DataFrame, bands: DataFrame) -> DataFrame:
-    """anchors (id, discipline, srcStage, stage_min, stage_max) with the stage of their source band, and a flag on conflict.
+    """anchors (id, discipline, srcStage 1 to 4, stage_min, stage_max, deprecated) with the band that their source names.
 
-    bands: discipline, band, lo, hi. Only disciplines with all four bands are used.
+    bands: discipline, band, lo, hi as their documents print them. A discipline whose bands differ from the standard ones
+    has its own if all four are known, and its anchors are set to them; others have the standard bands, and only a stage
+    inside of the band is widened to it: any other is a conflict and stays.
     """
-    whole = bands.groupBy("discipline").agg(F.countDistinct("band").alias("_n")).filter("_n = 4").select("discipline")
-    j = anchors.join(bands.join(whole, "discipline", "left_semi").withColumnRenamed("band", "srcStage"), ["discipline", "srcStage"], "left")
-    conflict = F.col("lo").isNotNull() & ((F.col("stage_max") < F.col("lo")) | (F.col("stage_min") > F.col("hi")))
-    return j.withColumn("stage_conflict", F.coalesce(conflict, F.lit(False))).withColumn("stage_min", F.when(F.col("lo").isNotNull() & ~F.col("stage_conflict"), F.col("lo")).otherwise(F.col("stage_min"))).withColumn("stage_max", F.when(F.col("hi").isNotNull() & ~F.col("stage_conflict"), F.col("hi")).otherwise(F.col("stage_max"))).drop("lo", "hi")
+    standard = F.create_map(*[x for k, v in STANDARD_BANDS.items() for x in (F.lit(k), F.struct(F.lit(v[0]).alias("lo"), F.lit(v[1]).alias("hi")))])
+    odd = (F.col("lo") != standard[F.col("band")]["lo"]) | (F.col("hi") != standard[F.col("band")]["hi"])
+    whole = bands.groupBy("discipline").agg(F.countDistinct("band").alias("_n"), F.max(odd).alias("_odd")).filter("_n = 4 and _odd").select("discipline")
+    own = bands.join(whole, "discipline", "left_semi").select("discipline", F.col("band").alias("srcStage"), F.struct("lo", "hi").alias("_own"))
+    j = anchors.join(own, ["discipline", "srcStage"], "left").withColumn("_band", F.coalesce("_own", standard[F.col("srcStage")]))
+    lo, hi = F.col("_band.lo"), F.col("_band.hi")
+    same = F.col("stage_min").eqNullSafe(lo) & F.col("stage_max").eqNullSafe(hi)
+    inside = F.coalesce((F.col("stage_min") >= lo) & (F.col("stage_max") <= hi), F.lit(False))
+    asked = F.col("_band").isNotNull() & ~F.coalesce(F.col("deprecated"), F.lit(False)) & ~same
+    move = asked & (F.col("_own").isNotNull() | inside)
+    out = j.withColumn("stage_conflict", asked & ~move).withColumn("_move", move)
+    return out.withColumn("stage_min", F.when(F.col("_move"), lo).otherwise(F.col("stage_min"))).withColumn("stage_max", F.when(F.col("_move"), hi).otherwise(F.col("stage_max"))).drop("_own", "_band", "_move")
 
 
 def split_gate(parts: DataFrame) -> DataFrame:
@@ -161,11 +189,13 @@ def with_targets(anchors: DataFrame, targets: DataFrame, ids: list[str]) -> Data
 
 
 def promoted(candidates: DataFrame) -> DataFrame:
-    """Ready candidates as proposed anchors; those without evidence get the template and say so."""
-    none = F.coalesce(F.size("evidence"), F.lit(0)) <= 0
-    ready = candidates.filter("bucket = 'READY'")
-    filled = F.when(none, F.array(F.concat(F.lit("能完成："), F.col("statement")))).otherwise(F.col("evidence"))
-    return ready.withColumn("evidenceSource", F.when(none, "fallback").otherwise(F.col("evidenceSource"))).withColumn("evidence", filled).withColumn("reviewStatus", F.lit("llm-proposed"))
+    """Candidates that are no junk as proposed anchors: the first four drafts of evidence of four characters or more; those
+    without any get the template and say so. candidates: bucket, statement, evidence."""
+    drafts = F.filter(F.coalesce("evidence", F.array().cast("array<string>")), lambda e: F.length(e) >= 4)
+    none = F.size(drafts) == 0
+    kept = candidates.filter("bucket <> 'JUNK'").withColumn("evidenceSource", F.when(none, "fallback").otherwise("llm-draft"))
+    kept = kept.withColumn("evidence", F.when(none, F.array(F.concat(F.lit("能完成："), F.col("statement")))).otherwise(F.slice(drafts, 1, 4)))
+    return kept.withColumn("reviewStatus", F.lit("llm-proposed")).withColumnRenamed("bucket", "triageBucket")
 
 
 def files_by_prefix(manifest: DataFrame) -> DataFrame:
@@ -182,11 +212,32 @@ def catalogue(anchors: DataFrame, facet: Column | None = None, search: str | Non
     return df.orderBy("discipline", "stage", "id")
 
 
-def child_view(anchors: DataFrame, lo: int, hi: int, per: int = 20) -> DataFrame:
-    """Of one band: anchors whose interval meets it, objective ones first, `per` a discipline."""
+def child_view(anchors: DataFrame, lo: int, hi: int) -> DataFrame:
+    """Of one band: the anchors whose interval meets it, numbered in their discipline; objective ones first, then by statement."""
     hit = anchors.filter((F.col("stage_min") <= hi) & (F.col("stage_max") >= lo))
-    w = Window.partitionBy("discipline").orderBy((F.col("status") != "auto-confirmed").cast("int"), "stage_min", "id")
-    return hit.withColumn("nth", F.row_number().over(w)).filter(F.col("nth") <= per)
+    w = Window.partitionBy("discipline").orderBy((F.col("status") != "auto-confirmed").cast("int"), "statement", "id")
+    return hit.withColumn("nth", F.row_number().over(w))
+
+
+def merged_evidence(old: Column, new: Column) -> Column:
+    """The old evidence and what is new, in order."""
+    old = F.coalesce(old, F.array().cast("array<string>"))
+    return F.concat(old, F.array_except(F.coalesce(new, F.array().cast("array<string>")), old))
+
+
+def issued_on(record: Column, option: str | None, today: str) -> Column:
+    """struct(day, note): the record's day, else the option, else today with a note."""
+    given = F.coalesce(F.nullif(record, F.lit("")), F.lit(option).cast("string"))
+    return F.struct(F.coalesce(given, F.lit(today)).alias("day"), F.when(given.isNull(), "（未指定出具日期，取生成当日）").otherwise("").alias("note"))
+
+
+def reviewable(anchors: DataFrame, want: tuple[str, ...] | None = None) -> DataFrame:
+    """Live anchors that may be judged again; raises if a status is asked for that people or rules have confirmed."""
+    confirmed = ("expert-confirmed", "auto-confirmed")
+    if want and set(want) & set(confirmed):
+        raise ValueError(f"confirmed anchors are not judged again: {sorted(set(want) & set(confirmed))}")
+    out = anchors.filter(~F.coalesce("deprecated", F.lit(False)) & ~F.col("reviewStatus").isin(*confirmed))
+    return out.filter(F.col("reviewStatus").isin(*want)) if want else out
 
 
 def detail(anchors: DataFrame, fields: list[str]) -> DataFrame:

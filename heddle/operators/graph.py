@@ -120,16 +120,24 @@ def group_detour(edges: DataFrame, group: Column) -> DataFrame:
 
 
 def ancestors(edges: DataFrame, of: DataFrame, rounds: int = 200) -> DataFrame:
-    """root, id, hops: all that each of `of` (id) depends on; a breadth-first search from those seeds only."""
-    step = edges.select("a", "p").filter("a <> p").distinct()
-    seen = settled(of.select(F.col("id").alias("root"), F.col("id"), F.lit(0).alias("hops")).distinct())
-    last = seen
+    """root, id, hops: all that each of `of` (id) depends on; a breadth-first search from those seeds only.
+
+    A round writes only what it has found; the rounds before are read where they lie.
+    """
+    step = settled(edges.select("a", "p").filter("a <> p").distinct())
+    last = settled(of.select(F.col("id").alias("root"), F.col("id"), F.lit(0).alias("hops")).distinct())
+    parts = [last]
     for hops in range(1, rounds + 1):
         nxt = last.select("root", F.col("id").alias("a")).join(step, "a").select("root", F.col("p").alias("id")).distinct()
+        seen = parts[0]
+        for part in parts[1:]:
+            seen = seen.union(part)
         last = settled(nxt.join(seen, ["root", "id"], "left_anti").withColumn("hops", F.lit(hops)))
         if last.isEmpty():
             return seen.filter("hops > 0")
-        seen = settled(seen.unionByName(last))
+        parts.append(last)
+        if len(parts) % 16 == 0:
+            parts = [settled(seen.union(last))]
     raise ValueError(f"not closed in {rounds} rounds")
 
 

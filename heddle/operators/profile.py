@@ -35,9 +35,11 @@ def structural_hard(edges: DataFrame) -> DataFrame:
     return edges.filter("type in ('component', 'semantic') and strength = 'hard' and a <> p").select("a", "p").distinct()
 
 
-def required(policy: str = "strict") -> Column:
-    """strict: an unknown course type is not required; lenient: it is."""
-    return F.coalesce(F.col("course") == "required", F.lit(policy == "lenient"))
+def required(policy: str = "strict", grade: int | None = None) -> Column:
+    """strict: an unknown course type is not required; lenient: it is, in grades up to 9."""
+    known = F.col("course") == "required"
+    unknown = F.coalesce("course", F.lit("")) == ""
+    return F.coalesce(known, F.lit(False)) | (unknown & F.lit(policy == "lenient" and grade is not None and grade <= 9))
 
 
 def _flagged(anchors: DataFrame, edges: DataFrame, touched: DataFrame, evidenced: DataFrame, grade: int, policy: str) -> DataFrame:
@@ -45,7 +47,7 @@ def _flagged(anchors: DataFrame, edges: DataFrame, touched: DataFrame, evidenced
     hard = structural_hard(edges).join(seen, "p", "left").groupBy(F.col("a").alias("id")).agg(F.count(F.lit(1)).alias("n_hard"), F.count("ev").alias("n_met"))
     j = anchors.join(touched.select("id", F.lit(True).alias("_touched")).distinct(), "id", "left").join(hard, "id", "left")
     flags = {
-        "live": ~F.coalesce("deprecated", F.lit(False)), "in_stage": F.lit(grade).between(F.col("stage_min"), F.col("stage_max")), "required": required(policy),
+        "live": ~F.coalesce("deprecated", F.lit(False)), "in_stage": F.lit(grade).between(F.col("stage_min"), F.col("stage_max")), "required": required(policy, grade),
         "untouched": F.col("_touched").isNull(), "with_hard": F.coalesce("n_hard", F.lit(0)) >= 1, "avoided": F.col("n_hard") == F.col("n_met"),
     }
     return j.select("*", *[F.coalesce(c, F.lit(False)).alias(f"f_{k}") for k, c in flags.items()])

@@ -31,9 +31,9 @@ def cross_pool(spark, sf_dir: str) -> DataFrame:
     return curation.cross_pool(B.anchors(spark, sf_dir).select("id", "discipline", "stage"), w).select("a", "p", F.col("nth").cast("long").alias("nth"))
 
 
-@query(f"""WITH {B.ANCHORS} SELECT discipline, id, status, row_number() OVER (PARTITION BY discipline ORDER BY CASE WHEN status = 'auto-confirmed' THEN 0 ELSE 1 END, stage, id) AS nth FROM anchor WHERE NOT deprecated AND stage <= 6 AND stage + 1 >= 5 QUALIFY nth <= 20""")
+@query(f"""WITH {B.ANCHORS} SELECT discipline, id, status, row_number() OVER (PARTITION BY discipline ORDER BY CASE WHEN status = 'auto-confirmed' THEN 0 ELSE 1 END, statement, id) AS nth FROM anchor WHERE NOT deprecated AND stage <= 6 AND stage + 1 >= 5""")
 def child_view(spark, sf_dir: str) -> DataFrame:
-    a = B.anchors(spark, sf_dir).filter("not deprecated").select("id", "discipline", "status", F.col("stage").alias("stage_min"), (F.col("stage") + 1).alias("stage_max"))
+    a = B.anchors(spark, sf_dir).filter("not deprecated").select("id", "discipline", "status", "statement", F.col("stage").alias("stage_min"), (F.col("stage") + 1).alias("stage_max"))
     return curation.child_view(a, 5, 6).select("discipline", "id", "status", F.col("nth").cast("long").alias("nth"))
 
 
@@ -47,10 +47,9 @@ def anchor_detail(spark, sf_dir: str) -> DataFrame:
     return curation.detail(B.anchors(spark, sf_dir), ["statement", "strand", "course"])
 
 
-@query(f"""WITH RECURSIVE {B.EDGES}, seed AS (SELECT id FROM anchor WHERE id % 89 = 0), dn AS (SELECT s.id AS root, e.a AS id FROM seed s JOIN edge e ON e.p = s.id UNION SELECT d.root, e.a FROM dn d JOIN edge e ON e.p = d.id)
-SELECT root, count(*) AS n_descendants FROM dn GROUP BY 1""")
+@query(f"""WITH RECURSIVE {B.REACH} SELECT p AS root, count(*) AS n_descendants FROM reach GROUP BY 1""")
 def descendant_sizes(spark, sf_dir: str) -> DataFrame:
-    d = graph.descendants(B.edges(spark, sf_dir), B.anchors(spark, sf_dir).filter("id % 89 = 0"))
+    d = graph.descendants(B.edges(spark, sf_dir), B.anchors(spark, sf_dir))
     return d.groupBy("root").agg(F.count(F.lit(1)).alias("n_descendants"))
 
 

@@ -9,7 +9,7 @@ from heddle.functions import text as T
 from heddle.operators import dedup, metrics, profile, rules
 from heddle.operators import sequences as S
 from heddle.plans import bindings as B
-from heddle.sources.tables import table
+from heddle.sources.tables import settled, table
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -112,12 +112,12 @@ def current_assertions(spark, sf_dir: str) -> DataFrame:
     return S.last_wins(ev.withColumn("_o", F.col("event_id")), ["user_id", "k"], "_o").select("user_id", "k", "value", "event_id")
 
 
-@query("""SELECT doc_id FROM documents WHERE substr(sha256(coalesce(CAST(doc_id AS VARCHAR), '') || '→' || coalesce(lang, '')), 1, 16) <> CASE WHEN doc_id % 3 = 0 THEN substr(sha256(coalesce(CAST(doc_id AS VARCHAR), '') || '→' || coalesce(lang, '')), 1, 16) ELSE '' END""")
+@query("""SELECT doc_id FROM documents WHERE substr(sha256(coalesce(CAST(doc_id AS VARCHAR), '') || '→' || coalesce(lang, '') || '→' || coalesce(text, '')), 1, 16) <> CASE WHEN doc_id % 3 = 0 THEN substr(sha256(coalesce(CAST(doc_id AS VARCHAR), '') || '→' || coalesce(lang, '') || '→' || coalesce(text, '')), 1, 16) ELSE '' END""")
 def incremental_rows(spark, sf_dir: str) -> DataFrame:
     """Rows to do again: those without a stored hash or with another one."""
-    docs = table(spark, sf_dir, "documents", "doc_id", "lang")
-    stored = docs.filter("doc_id % 3 = 0").select("doc_id", S.short_hash("doc_id", "lang").alias("hash"))
-    return S.incremental(docs, stored, ["doc_id"], ["doc_id", "lang"]).select("doc_id")
+    docs = table(spark, sf_dir, "documents", "doc_id", "lang", "text")
+    stored = docs.filter("doc_id % 3 = 0").select("doc_id", S.short_hash("doc_id", "lang", "text").alias("hash"))
+    return S.incremental(docs, stored, ["doc_id"], ["doc_id", "lang", "text"]).select("doc_id")
 
 
 @query("""WITH c AS (SELECT text, count(DISTINCT source) AS n_sources, count(*) AS n_rows FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(DISTINCT source) > 1)
@@ -185,13 +185,13 @@ def band_overlap(spark, sf_dir: str) -> DataFrame:
     return rows.groupBy("x.name").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("x.end"), 1)).alias("n_end"))
 
 
-@query("""WITH m AS (SELECT source, lang, min(n_chars) AS page FROM documents WHERE n_chars < 2000 GROUP BY 1, 2 HAVING count(DISTINCT n_chars) = 1), f AS (SELECT lang, min(n_chars) AS page FROM documents GROUP BY 1)
+@query("""WITH m AS (SELECT source, lang, min(n_chars) AS page FROM documents GROUP BY 1, 2 HAVING count(DISTINCT n_chars) = 1), f AS (SELECT lang, min(n_chars) AS page FROM documents GROUP BY 1)
 SELECT d.doc_id, coalesce(CASE WHEN d.doc_id % 4 = 0 THEN d.n_chars END, m.page, f.page, -1) AS page, CASE WHEN d.doc_id % 4 = 0 AND d.n_chars IS NOT NULL THEN 'own' WHEN m.page IS NOT NULL THEN 'exact' WHEN f.page IS NOT NULL THEN 'inherited' ELSE 'default' END AS origin
 FROM documents d LEFT JOIN m USING (source, lang) LEFT JOIN f USING (lang)""")
 def fallback_chain(spark, sf_dir: str) -> DataFrame:
     """Own value, unambiguous map on two keys, inherited from one key, default."""
     d = table(spark, sf_dir, "documents", "doc_id", "source", "lang", "n_chars")
-    exact = rules.unambiguous(d.filter("n_chars < 2000"), ["source", "lang"], "n_chars").withColumnRenamed("n_chars", "exact")
+    exact = rules.unambiguous(d, ["source", "lang"], "n_chars").withColumnRenamed("n_chars", "exact")
     inherited = d.groupBy("lang").agg(F.min("n_chars").alias("inherited"))
     own = d.withColumn("own", F.when(F.col("doc_id") % 4 == 0, F.col("n_chars")))
     return rules.fallback(own.join(exact, ["source", "lang"], "left").join(inherited, "lang", "left"), ["own", "exact", "inherited"], F.lit(-1), "page").select("doc_id", "page", "origin")
@@ -263,12 +263,12 @@ def near_duplicate_statements(spark, sf_dir: str) -> DataFrame:
     return dedup.near_pairs(a, 30).select("a", "b")
 
 
-@query("""SELECT doc_id, regexp_replace(lower(substr(text, 1, 0) || split_part(text, chr(10), 1)), '[^a-z0-9]+', '', 'g') AS match_key, substr(sha256(text), 1, 24) AS hash,
-  CASE WHEN length(text) > 40 THEN substr(text, 1, 39) || '…' ELSE text END AS cut, replace(replace(replace(replace(replace(split_part(text, chr(10), 1), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;') AS escaped FROM documents""")
+@query("""SELECT doc_id, regexp_replace(lower(text), '[^a-z0-9]+', '', 'g') AS match_key, substr(sha256(text), 1, 24) AS hash,
+  CASE WHEN length(text) > 40 THEN substr(text, 1, 39) || '…' ELSE text END AS cut, replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;') AS escaped FROM documents""")
 def text_keys(spark, sf_dir: str) -> DataFrame:
-    """Match key, content hash, cut text and escaped first line of each document."""
+    """Match key, content hash, cut text and escaped text of each document."""
     d = table(spark, sf_dir, "documents", "doc_id", "text")
-    line = F.substring_index("text", "\n", 1)
+    line = F.col("text")
     return d.select("doc_id", F.regexp_replace(F.lower(line), "[^a-z0-9]+", "").alias("match_key"), T.hash_prefix(F.col("text"), 24).alias("hash"), T.cut(F.col("text"), 40).alias("cut"), T.escape_html(line).alias("escaped"))
 
 
@@ -277,12 +277,21 @@ d AS (SELECT DISTINCT doc_id, unnest(string_split_regex(trim(lower(text)), '[^a-
 hit AS (SELECT item_id, doc_id, count(*) AS k FROM bw JOIN d USING (t) GROUP BY 1, 2)
 SELECT item_id, doc_id, CAST(k AS DOUBLE) / n AS coverage FROM hit JOIN n USING (item_id) WHERE CAST(k AS DOUBLE) / n >= 0.9""")
 def grounded_items(spark, sf_dir: str) -> DataFrame:
-    """Benchmark items of which nine tenths of the words stand in a document."""
-    words = lambda df, key: df.select(key, F.explode(F.array_distinct(F.split(F.trim(F.lower("text")), "[^a-z]+"))).alias("t")).filter("t <> ''")
-    b = words(table(spark, sf_dir, "benchmark", "item_id", "text"), "item_id")
-    n = b.groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))
-    k = words(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id").join(F.broadcast(b), "t").groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("k"))
-    return k.join(n, "item_id").withColumn("coverage", F.col("k").cast("double") / F.col("n")).filter("coverage >= 0.9").select("item_id", "doc_id", "coverage")
+    """Benchmark items of which nine tenths of the words stand in a document.
+
+    Such a document has one of any n - ceil(0.9 n) + 1 words of an item, so the items meet documents on their rarest ones.
+    """
+    words = lambda name, key: table(spark, sf_dir, name, key, "text").select(key, F.array_compact(F.array_remove(F.array_distinct(F.split(F.trim(F.lower("text")), "[^a-z]+")), "")).alias("w"))
+    items, docs = settled(words("benchmark", "item_id").filter("size(w) > 0")), words("documents", "doc_id")
+    each = items.select("item_id", F.size("w").alias("n"), F.explode("w").alias("t"))
+    said = docs.select("doc_id", F.explode("w").alias("t"))
+    rare = said.groupBy("t").agg(F.count(F.lit(1)).alias("df"))
+    place = F.row_number().over(Window.partitionBy("item_id").orderBy(F.coalesce("df", F.lit(0)), "t"))
+    prefix = settled(each.join(rare, "t", "left").withColumn("k", place).filter(F.col("k") <= F.col("n") - F.ceil(F.col("n") * 9 / 10) + 1).select("item_id", "t"))
+    pairs = said.join(prefix, "t").select("item_id", "doc_id").distinct()
+    both = pairs.join(docs, "doc_id").join(items.select("item_id", F.col("w").alias("own")), "item_id")
+    k = F.size(F.array_intersect("own", "w"))
+    return both.withColumn("coverage", k.cast("double") / F.size("own")).filter("coverage >= 0.9").select("item_id", "doc_id", "coverage")
 
 
 @query("""SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_extract(html, '<html lang="([a-z]+)"', 1) AS lang, len(regexp_extract_all(html, '<p>')) AS n_paragraphs, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host FROM pages""")

@@ -61,14 +61,14 @@ WORK = f"student_ref string, stage string, work_title string, sessions int, iter
 
 
 def read_work(spark: SparkSession, path: str) -> DataFrame:
-    """One work record from a JSON object, or from lines of which one without anchor_id is the header."""
-    text = spark.read.text(path, wholetext=True)
+    """One work record a file, from a JSON object or from lines of which the first without anchor_id is the header."""
+    text = spark.read.text(path, wholetext=True).withColumn("file", F.input_file_name())
     whole = text.select(F.from_json("value", WORK).alias("w")).filter("w.items is not null").select("w.*")
-    lines = text.filter(F.from_json("value", WORK)["items"].isNull()).select(F.explode(F.split("value", r"\r?\n", -1)).alias("raw")).filter("trim(raw) <> ''")
-    both = lines.select(F.from_json("raw", WORK).alias("h"), F.from_json("raw", WORK_ITEM).alias("i"))
-    head = both.filter("i.anchor_id is null").select("h.*").drop("items").limit(1)
-    items = both.filter("i.anchor_id is not null").agg(F.collect_list("i").alias("items"))
-    joined = head.withColumn("_k", F.lit(1)).join(items.withColumn("_k", F.lit(1)), "_k").drop("_k").filter("size(items) > 0")
+    lines = text.filter(F.from_json("value", WORK)["items"].isNull()).select("file", F.posexplode(F.split("value", r"\r?\n", -1)).alias("pos", "raw")).filter("trim(raw) <> ''")
+    both = lines.select("file", "pos", F.from_json("raw", WORK).alias("h"), F.from_json("raw", WORK_ITEM).alias("i"))
+    item = F.col("i.anchor_id").isNotNull()
+    per = both.groupBy("file").agg(F.min_by(F.when(~item, F.col("h")), F.when(~item, F.col("pos"))).alias("h"), F.array_sort(F.collect_list(F.when(item, F.struct("pos", "i")))).alias("items"))
+    joined = per.filter("h is not null and size(items) > 0").select("h.*", F.transform("items", lambda x: x["i"]).alias("_items")).drop("items").withColumnRenamed("_items", "items")
     return whole.unionByName(joined)
 
 
@@ -83,7 +83,7 @@ def read_reviews(spark: SparkSession, path: str) -> DataFrame:
     doc = doc.select("r.anchorId", F.lit(None).cast("string").alias("prerequisiteId"), F.lit("anchor").alias("kind"), "r.verdict", "r.note", "reviewer", "reviewedAt", "seq")
     lines = text.filter(F.from_json("value", REVIEW)["rows"].isNull()).select(F.posexplode(F.split("value", r"\r?\n", -1)).alias("seq", "raw")).filter("trim(raw) <> ''")
     rows = lines.select("seq", F.from_json("raw", REVIEW_ROW).alias("r")).filter("r.anchorId is not null")
-    rows = rows.select("r.anchorId", "r.prerequisiteId", F.coalesce("r.kind", F.when(F.col("r.prerequisiteId").isNull(), "anchor").otherwise("edge")).alias("kind"), F.coalesce("r.verdict", "r.issue").alias("verdict"), "r.note", "r.reviewer", "r.reviewedAt", "seq")
+    rows = rows.select("r.anchorId", "r.prerequisiteId", F.coalesce("r.kind", F.when(F.col("r.prerequisiteId").isNull(), "anchor").otherwise("edge")).alias("kind"), F.coalesce(F.nullif("r.issue", F.lit("")), "r.verdict").alias("verdict"), "r.note", "r.reviewer", "r.reviewedAt", "seq")
     return doc.unionByName(rows)
 
 

@@ -1,5 +1,6 @@
 import glob
 import itertools
+import hashlib
 import json
 import os
 import random
@@ -67,14 +68,26 @@ def test_signature_keeps_what_tells_apart(spark):
 def test_small_text_functions(spark):
     assert column(spark, ["G6", "g10", "6", " 12 ", "13", None, "x"], text.grade_number) == [6, 10, 6, 12, None, None, None]
     assert column(spark, ["甲。乙！丙"], text.sentences) == [["甲。", "乙！", "丙"]]
-    assert column(spark, ["第二学段", "3~4年级", "七至九年级", "其他"], text.stage_band) == [(3, 4), (3, 4), (7, 9), None]
+    assert column(spark, ["第二学段", "3~4年级", "2~4年级", "其他", "G1-2", "G3-5", "8 ~ 9", " G7～G9 "], text.stage_band) == [(3, 4), (3, 4), None, None, (1, 2), (3, 4), (7, 9), (7, 9)]
     assert column(spark, ["abcdef", "abc", None], lambda c: text.cut(c, 4)) == ["abc…", "abc", None]
     assert column(spark, ["<a & 'b'>"], text.escape_html) == ["&lt;a &amp; &#39;b&#39;&gt;"]
     assert column(spark, ["能，说出这个的分数"], text.content_characters) == [["说", "出", "分", "数"]]
-    assert column(spark, ["ＡＢ１．"], text.half_width) == ["AB1."]
+    assert column(spark, ["ＡＢ１．　", "，：（\ue001）"], text.half_width) == ["AB1. ", "，：（）"]
+    assert column(spark, ["Colour (AmE color)", "colour(AmE  color) *", "a / b"], text.vote_key) == ["colour(ame color)", "colour(ame color)", "a/b"]
+    assert column(spark, [" 甲, 乙(丙); ", "甲。；"], text.comparison_key) == ["甲，乙（丙）", "甲"]
+    assert column(spark, ["１２\n普通高中数学课程标准（2 0 1 7年版）能画图\n 7 \n"], text.page_lines) == [["能画图"]]
+    assert column(spark, ["选择性必修理解性技能1. 区分观点", "必修：听 3、复述", "区分"], text.labels_stripped) == ["区分观点", "复述", "区分"]
+    assert column(spark, ["（家国情怀）认识长城", "（例6）画图"], lambda c: text.leading_tags(c, ("家国情怀", "史料实证"))) == [("认识长城", ["家国情怀"]), ("（例6）画图", [])]
+    assert column(spark, ["能说出的意义", "能说出", "知道"], lambda c: text.object_after(c, F.lit("说出"))) == ["意义", "能说出", "知道"]
+    assert column(spark, ["会计算", "学会计算", "能算"], text.with_can) == ["会计算", "能学会计算", "能算"]
+    assert column(spark, ["能计算", "赛的规则"], text.opens_well) == [True, False]
+    assert column(spark, ["（1）能描述水的三态，能解释蒸发现象；【学业要求】7列举$y=5x$的图象，形成初步的符号意识。"], text.requirements) == [["能描述水的三态", "能解释蒸发现象", "列举y=5x的图象"]]
+    df = spark.createDataFrame([(3, 3), (1, 9), (3, 4), (10, 11), (None, 2)], "lo int, hi int")
+    assert [r[0] for r in df.select(text.stage_words(F.col("lo"), F.col("hi"))).collect()] == ["三年级", "全学段", "三到四年级", "高一–高二年级", "学段未定"]
     assert column(spark, ["F001 x", "see W102", "none"], text.error_code) == ["F001", "W102", ""]
     assert column(spark, ['{"a": "x", "b": "y"}', '{"a": "x", "b": ', "no"], lambda c: text.salvaged(c, "a string, b string", ["a", "b"])) == [("x", "y"), ("x", None), (None, None)]
-    assert column(spark, ["a"], text.document_number)[0].isupper() or column(spark, ["a"], text.document_number)[0].isdigit()
+    number = column(spark, ["s"], lambda c: text.document_number(c, F.lit("t"), F.lit(None).cast("string"), F.lit("2026-03-09")))[0]
+    assert number == "DZ-260309-" + hashlib.blake2s(b"s|t|", digest_size=3).hexdigest()[:5].upper()
     df = spark.createDataFrame([("abcd", "bcde"), ("", "")], "a string, b string")
     assert [r[0] for r in df.select(text.sequence_ratio("a", "b")).collect()] == [0.75, 1.0]
 
@@ -221,6 +234,10 @@ def test_reviews_need_a_signature(spark):
     reviews = spark.createDataFrame([("a", "ok", "", "Li", 1), ("b", "ok", "", "", 1), ("c", "ok", "", "Li", 1), ("d", "ok", "", "Li", 1), ("d", "stage", "", "Li", 2), ("z", "ok", "", "Li", 1)], "anchorId string, verdict string, note string, reviewer string, seq int")
     got = {r["id"]: r["new_status"] for r in classify.apply_reviews(anchors, reviews).collect()}
     assert got == {"a": "expert-confirmed", "b": "ai-reviewed", "c": "disputed", "d": "disputed"}
+    unsigned = spark.createDataFrame([("a", "wrong", "", "", 1), ("b", "成立", "", "Li", 1), ("d", None, "", " ", 1)], "anchorId string, verdict string, note string, reviewer string, seq int")
+    rows = {r["id"]: r for r in classify.apply_reviews(anchors, unsigned).collect()}
+    assert {i: rows[i]["new_status"] for i in "abd"} == {"a": "disputed", "b": "expert-confirmed", "d": "disputed"}
+    assert rows["a"]["reviewedBy"] == ["ai:x", "teacher:anonymous"] and rows["a"]["issue"] == "wrong" and rows["d"]["issue"] == "other"
     assert {r["id"]: r["new_status"] for r in classify.apply_reviews(anchors, reviews, overturn_disputed=True).collect()}["c"] == "expert-confirmed"
     assert [r["id"] for r in classify.missing_keys(reviews, anchors).collect()] == ["z"]
 
@@ -284,3 +301,26 @@ def test_oracle(spark, name):
     r = c.sql(registry.ORACLE[name])
     at = [list(r.columns).index(k) for k in df.columns]
     assert sorted(map(str, (tuple(x) for x in df.collect()))) == sorted(str(tuple(x[i] for i in at)) for x in r.fetchall())
+
+
+def test_classifiers_in_their_order(spark):
+    rows = [("教师引导学生观察", "观察", "植物生长", 1, 2), ("植物的生长过程", "", "", 1, 2), ("能观察植物，能记录变化", "观察", "植物生长", 1, 2), ("能观察植物", "观察", "植物生长", 1, 9), ("能观察植物", "观察", "植物生长", None, None), ("能观察植物", "观察", "植物生长", 1, 2), ("能观察植物", "观察", "植物", 1, 2)]
+    df = spark.createDataFrame(rows, "s string, v string, o string, lo int, hi int")
+    assert [r[0] for r in df.select(classify.triage(*[F.col(c) for c in df.columns])).collect()] == ["JUNK", "JUNK", "SPLIT", "NO_STAGE", "NO_STAGE", "READY", "JUDGE"]
+    rows = [("convention", 3, "diff", 5, "diff"), ("semantic", 2, "diff", 5, "diff"), ("semantic", None, "diff", 5, "diff"), ("semantic", 1, "unk", 3, "diff"), ("semantic", 0, "same", 2, "diff"), ("semantic", 0, "same", 2, "same"), (None, 0, "unk", 2, "unk")]
+    df = spark.createDataFrame(rows, "t string, g int, s string, h int, p string")
+    assert [r[0] for r in df.select(classify.redundancy_group(*[F.col(c) for c in df.columns])).collect()] == [f"R{k}" for k in range(7)]
+    df = spark.createDataFrame([(7, 5, 3, 9), (1, 12, 3, 8), (None, None, 3, 9), (4, 5, 1, 9)], "lo int, hi int, a int, b int")
+    assert [tuple(r[0]) for r in df.select(classify.clamp_stage(*[F.col(c) for c in df.columns])).collect()] == [(3, 3), (3, 8), (3, 9), (4, 5)]
+    long = "不会把分数化成小数再比较大小"
+    df = spark.createDataFrame([("semantic", "firm", long), ("instrument", "hard", long), ("convention", "hard", "x"), ("semantic", "hard", "短"), ("semantic", "hard", long), ("other", "hard", long), ("semantic", "hard", "孩子的基础不牢所以后面都学不会了")], "t string, s string, g string")
+    got = [r[0] and (r[0]["strength"], r[0]["signature"]) for r in df.select(classify.accepted_label(*[F.col(c) for c in df.columns])).collect()]
+    assert got == [("soft", long), ("soft", long), ("soft", "无可观测影响"), None, ("hard", long), None, None]
+    df = spark.createDataFrame([("", "甲乙"), ("甲丙丁戊", "甲乙"), ("甲乙", "甲乙丙")], "o string, s string")
+    assert [r[0] for r in df.select(classify.drifted(F.col("o"), F.col("s"))).collect()] == [False, True, False]
+    df = spark.createDataFrame([("能说出甲", "说出甲能", 0, True), ("甲乙丙丁", "甲", 0, True), ("甲乙丙丁", "甲", 2, True), ("甲乙丙丁", "甲", 2, False)], "a string, b string, n int, s boolean")
+    assert [r[0] for r in df.select(classify.independent_verdict(*[F.col(c) for c in df.columns])).collect()] == ["grounded-verbatim", "not-applicable", "suspect", "passed"]
+    df = spark.createDataFrame([("必修",), ("选修",), (None,), ("",)], "c string")
+    answers = lambda **k: [r[0] for r in df.select(classify.course_required(F.col("c"), **k)).collect()]
+    assert answers() == [True, False, False, False] and answers(policy="lenient", grade=9) == [True, False, True, True] and answers(policy="lenient", grade=10) == answers()
+    assert column(spark, ["会画图、测量", "会测量并记录", "会测量并说明", "会测量", "会测量，说出结果"], classify.compound_signal) == [True, False, True, False, True]

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from heddle.operators import curation
@@ -37,13 +38,33 @@ def test_sources_and_examples(spark):
 
 
 def test_disputes_and_stages(spark):
-    df = spark.createDataFrame([("stage", 3, 4, 3, 4, True, False), ("stage", 1, 4, 3, 4, True, False), (None, 3, 4, 3, 4, True, False), ("ok", 3, 4, None, None, True, False), ("ok", 3, 4, 3, 4, False, False), ("ok", 3, 4, 3, 4, True, True)], "v string, lo int, hi int, slo int, shi int, ok boolean, human boolean")
+    rows = [(["undecidable"], False, 3, 4, 3, 4), (["stage"], False, 3, 4, 3, 4), (["stage"], True, 3, 4, 3, 4), (["stage"], True, 3, 3, 3, 4), (["stage"], True, 2, 3, 3, 4), (["stage", "truncated"], True, 3, 4, 3, 4), (["stage"], True, 3, 4, None, None), (["undecidable"], True, 3, 4, 3, 4)]
+    df = spark.createDataFrame(rows, "i array<string>, ok boolean, lo int, hi int, slo int, shi int")
     got = [r[0] for r in df.select(curation.dispute_outcome(*[F.col(c) for c in df.columns])).collect()]
-    assert got == ["release: stage was right", "repair stage", "keep: no verdict", "release", "keep: gate", "keep: human"]
-    bands = spark.createDataFrame([("d", b, 2 * b + 1, 2 * b + 2) for b in range(4)] + [("e", 0, 1, 2)], "discipline string, band int, lo int, hi int")
-    a = spark.createDataFrame([("a", "d", 1, 4, 4), ("b", "d", 1, 8, 9), ("c", "e", 0, 5, 6)], "id string, discipline string, srcStage int, stage_min int, stage_max int")
+    assert got == ["deprecate", "keep: gate", "release: stage was right", "release: stage restored", "keep: stage conflict", "keep: other issues", "keep: unresolved", "keep: unresolved"]
+    own = [("d", 1, 1, 2), ("d", 2, 3, 5), ("d", 3, 6, 7), ("d", 4, 8, 9)]
+    bands = spark.createDataFrame([*own, ("e", 2, 3, 5)], "discipline string, band int, lo int, hi int")
+    rows = [("a", "d", 2, 1, 2, False), ("b", "e", 2, 3, 3, False), ("c", "e", 2, 4, 5, False), ("f", "e", None, 4, 5, False), ("g", "d", 2, 1, 2, True), ("h", "x", 4, 7, 9, False), ("i", "x", 4, None, None, False)]
+    a = spark.createDataFrame(rows, "id string, discipline string, srcStage int, stage_min int, stage_max int, deprecated boolean")
     got = {r["id"]: (r["stage_min"], r["stage_max"], r["stage_conflict"]) for r in curation.restored_stage(a, bands).collect()}
-    assert got == {"a": (3, 4, False), "b": (8, 9, True), "c": (5, 6, False)}
+    assert got == {"a": (3, 5, False), "b": (3, 4, False), "c": (4, 5, True), "f": (4, 5, False), "g": (1, 2, False), "h": (7, 9, False), "i": (None, None, True)}
+
+
+def test_promotion_keeps_all_but_junk(spark):
+    rows = [("JUNK", "x", ["long enough"]), ("JUDGE", "能画图", ["abc", None]), ("READY", "y", ["one!", "two!", "xx", "three", "four", "five!"])]
+    got = {r["triageBucket"]: (r["evidence"], r["evidenceSource"]) for r in curation.promoted(spark.createDataFrame(rows, "bucket string, statement string, evidence array<string>")).collect()}
+    assert got == {"JUDGE": (["能完成：能画图"], "fallback"), "READY": (["one!", "two!", "three", "four"], "llm-draft")}
+
+
+def test_small_curation_steps(spark):
+    df = spark.createDataFrame([(["a", "b"], ["b", "c"]), (None, ["c"])], "old array<string>, new array<string>")
+    assert [r[0] for r in df.select(curation.merged_evidence(F.col("old"), F.col("new"))).collect()] == [["a", "b", "c"], ["c"]]
+    df = spark.createDataFrame([("2026-01-02",), (None,)], "d string")
+    assert [r[0]["day"] for r in df.select(curation.issued_on(F.col("d"), None, "2026-05-05")).collect()] == ["2026-01-02", "2026-05-05"]
+    a = spark.createDataFrame([("a", "ai-reviewed", False), ("b", "expert-confirmed", False), ("c", "disputed", True)], "id string, reviewStatus string, deprecated boolean")
+    assert [r["id"] for r in curation.reviewable(a).collect()] == ["a"]
+    with pytest.raises(ValueError):
+        curation.reviewable(a, ("expert-confirmed",))
 
 
 def test_agreement_ignores_runs_that_gave_up(spark):
