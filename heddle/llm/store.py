@@ -95,7 +95,7 @@ def result(spark: SparkSession, make, name: str) -> DataFrame:
 
 def parts_for(df: DataFrame, bytes_a_part: int = 256 << 20) -> int:
     """Shuffle partitions for rows as wide as the input's: the session's number, or more where the files are larger."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(1 << 20, -(-size // bytes_a_part)))
 
 
