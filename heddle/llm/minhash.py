@@ -5,7 +5,7 @@ paired with it (no bucket makes all pairs). Pairs whose signatures agree enough
 confirmed pairs become components. A bucket whose members are then in more than one component could still hide a link:
 the pairs across components are tried too, in large buckets (over `SMALL` members) those of which 4096-bit sketches
 agree. So what is left to chance is that two similar texts share no band (5e-6 at similarity 0.75, less above) or that
-their sketches are 4.5 deviations off.
+their signatures or sketches are 7 deviations off.
 
 Defined cases: null, empty and blank texts have no shingles and are linked with nothing; rows of one id are one document
 that has the links of each of its texts; rows with a null id are linked with nothing and have a null component; an empty
@@ -31,9 +31,10 @@ BANDS = MINIMA // BAND
 #: Pairs that agree in fewer minima are not looked at again: 7 deviations below what 0.75 gives.
 LEAST_EQUAL = 62
 SMALL = 24
-#: Longs of a sketch, and the most bits that two may differ in: 512 are expected at 0.75, 4.5 deviations are allowed.
+#: Longs of a sketch, and the most bits that two may differ in: 512 are expected at 0.75, 7 deviations are allowed,
+#: as many as to the signatures of small buckets.
 SKETCH = 64
-MOST_APART = 607
+MOST_APART = 660
 CACHE = 300_000
 
 _rng = np.random.Generator(np.random.PCG64(20240))
