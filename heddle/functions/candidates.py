@@ -1,4 +1,4 @@
-"""What a candidate's words say of it: type, level, track, propositions, circular and invented statements, predicate use."""
+"""What a candidate's words say of it: type, level, track, propositions, circular and invented statements, predicate use, audits."""
 
 from __future__ import annotations
 
@@ -29,6 +29,17 @@ ABSTRACT_NOUNS = ("意义", "作用", "目的", "价值", "危害", "好处", "
 NOUN_ENDINGS = ("原则", "方法", "方式", "能力", "意识", "观念", "素养", "过程", "活动", "作品", "成果", "者", "类别", "要素", "定义", "规律", "思路", "理念", "技法", "技能", "水平", "领域", "环节", "阶段", "工具", "手段")
 PASSIVE_LEADS = ("经过", "所", "被", "受", "加以", "得到", "进行了")
 TEACHER = ("教学重点", "教学建议", "教学提示", "教学策略", "本学习任务", "本任务", "引导学生", "组织学生", "指导学生", "鼓励学生", "帮助学生", "教师应", "教师可", "教师要", "建议教师", "可安排", "应安排")
+# Fixed values of the audits: no standard answer, talk as a source, a use made a definition, notes on the course's order,
+# judgements and their words, measures, named grades.
+NO_ANSWER = "(是什么样的|有哪些|怎么样|如何[^，。]{0,6}\\z|应该是)"
+DISCUSSION = "讨论|探讨|交流|说一说|想一想|议一议"
+TOOL_DEFINITION = "是(进行|用于|用来|开展)[^，。]{2,}的(平台|工具|方式|方法|途径|手段)"
+COURSE_ORDER = r"\d\s*[~～-]\s*\d\s*年级(注重|主要|侧重)|注重让学生|经历一系列"
+JUDGEMENT = "的(作用|目的|意义|功能|价值|特点|本质|定义)是"
+JUDGEMENT_SOURCE = "作用|目的|意义|功能|价值|特点|本质|定义"
+MEASURE = r"\d+\s*(万?词|字|篇|次|分钟|米|秒|个左右)以?上?|不少于|累计达到|每分钟|总量"
+NAMED_GRADES = r"(\d)\s*[~～-]\s*(\d)\s*年级|第([一二三四])学段"
+COURSE_PLAN = "开设|选项|学习任务为|主要满足|依托|每位学生至少|课时|学段设置"
 
 _any = "|".join
 
@@ -75,3 +86,42 @@ def predicate_use(source: Column, verb: str) -> Column:
 
 def for_teachers(source: Column) -> Column:
     return source.rlike(_any(TEACHER))
+
+
+def suspect_outcome(statement: Column, source: Column, n_facts: Column) -> Column:
+    """What becomes of a statement that independent reading doubts: `drop: ` and the bad pattern, downgrade or queue.
+
+    Where the reading found facts of its own the doubt is weak, and people are asked (queue). Without any, a pattern that a
+    rule can name is dropped, and any other statement leaves the usable ones (downgrade). A null source is empty.
+    """
+    src = F.coalesce(source, F.lit(""))
+    return first_match(
+        [
+            (F.coalesce(n_facts, F.lit(0)) > 0, "queue"),
+            (circular(statement), "drop: circular"),
+            (statement.rlike(NO_ANSWER) | src.rlike(DISCUSSION), "drop: no standard answer"),
+            (statement.rlike(TOOL_DEFINITION), "drop: use made a definition"),
+            (invented_relation(statement, src), "drop: invented relation"),
+            (statement.rlike(COURSE_ORDER), "drop: order of the course"),
+        ],
+        "downgrade",
+    )
+
+
+def content_audit(statement: Column, source: Column, lo: Column, hi: Column) -> Column:
+    """struct(finding, min, max) of an anchor from curriculum text: invented, measure, course plan, or stage with the grades
+    that the statement names where they are not lo and hi (a missing stage is left alone); null where nothing is found."""
+    named = lambda k: F.regexp_extract(statement, NAMED_GRADES, k)
+    band = F.when(named(3) != "", T.stage_band(F.concat(F.lit("第"), named(3), F.lit("学段"))))
+    first, last = (F.coalesce(band[k], named(i).try_cast("int")) for k, i in (("min", 1), ("max", 2)))
+    grades = statement.rlike(NAMED_GRADES)
+    finding = first_match(
+        [
+            (statement.rlike(JUDGEMENT) & ~F.coalesce(source, F.lit("")).rlike(JUDGEMENT_SOURCE), "invented"),
+            (statement.rlike(MEASURE), "measure"),
+            (grades & statement.rlike(COURSE_PLAN), "course plan"),
+            (grades & lo.isNotNull() & hi.isNotNull() & ((lo != first) | (hi != last)), "stage"),
+        ]
+    )
+    stage = finding == "stage"
+    return F.when(finding.isNotNull(), F.struct(finding.alias("finding"), F.when(stage, first).alias("min"), F.when(stage, last).alias("max")))

@@ -252,6 +252,11 @@ def grade_number(c: Column) -> Column:
     return n.try_cast("int")
 
 
+def number_at_end(c: Column) -> Column:
+    """The number that a position key such as `@7@10` ends with, for sorting; 0 without one."""
+    return F.coalesce(F.regexp_extract(c, r"(\d+)\z", 1).try_cast("long"), F.lit(0))
+
+
 def stage_band(c: Column) -> Column:
     """struct(min, max) of the band in which a stage named as G3-5, 第N学段 or a~b年级 begins; null for others."""
     s = trimmed(c)

@@ -204,6 +204,11 @@ def greedy_acyclic(edges: DataFrame, group: str, order: list[str]) -> DataFrame:
     return edges.groupBy(group).applyInPandas(run, StructType([*edges.schema.fields, StructField("kept", BooleanType())]))
 
 
+def span_first(later: Column, earlier: Column, unknown: int = 5) -> Column:
+    """Sort key that puts edges over many stages first, as they are the likelier prerequisites; ties keep their order."""
+    return F.coalesce(earlier, F.lit(unknown)) - F.coalesce(later, F.lit(unknown))
+
+
 def in_degree_over(edges: DataFrame, limit: int = 8) -> DataFrame:
     return edges.groupBy(F.col("a").alias("id")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > limit)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: The review statuses of the citable policy, and its tiers for display.
@@ -18,10 +18,20 @@ def citable(df: DataFrame, status: str = "status") -> DataFrame:
     return live(df).filter(F.col(status).isin(*CITABLE))
 
 
-def upper_median(column: str) -> Column:
-    """sorted[floor(n / 2)]; of an even number the upper of the two in the middle. For short lists such as cells."""
-    values = F.array_sort(F.collect_list(column))
-    return F.element_at(values, (F.floor(F.size(values) / 2) + 1).cast("int"))
+def ranked(df: DataFrame, keys: list[str], value: str, place) -> DataFrame:
+    """keys and the value at a place of each group's sorted values, from 0. place: of the group's size, both columns.
+
+    Values are counted first and the counts summed in order, so that no group is gathered in one row. Nulls do not count.
+    """
+    per = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_k"))
+    w = Window.partitionBy(*keys)
+    run = per.withColumn("_upto", F.sum("_k").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))).withColumn("_at", place(F.sum("_k").over(w)))
+    return run.filter("_at < _upto and _at >= _upto - _k").select(*keys, value)
+
+
+def upper_median(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """sorted[floor(n / 2)]; of an even number the upper of the two in the middle."""
+    return ranked(df, keys, value, lambda n: F.floor(n / 2))
 
 
 def coverage_matrix(anchors: DataFrame, bands: int = 5) -> DataFrame:
@@ -53,10 +63,9 @@ def pairs(n: Column) -> Column:
     return (n * (n - 1) / 2).cast("long")
 
 
-def nearest_rank(column: str, share: float) -> Column:
-    """sorted[int(n * share)]."""
-    values = F.array_sort(F.collect_list(column))
-    return F.element_at(values, F.least(F.floor(F.size(values) * F.lit(share)) + 1, F.size(values).cast("long")).cast("int"))
+def nearest_rank(df: DataFrame, keys: list[str], value: str, share: float) -> DataFrame:
+    """sorted[int(n * share)], the last one at most."""
+    return ranked(df, keys, value, lambda n: F.least(F.floor(n * F.lit(share)), n - 1))
 
 
 def top_reasons(df: DataFrame, column: str, k: int) -> DataFrame:

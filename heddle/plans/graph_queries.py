@@ -64,7 +64,8 @@ def coverage_matrix(spark, sf_dir: str) -> DataFrame:
 SELECT list_sort(list(n))[CAST(floor(count(*) / 2) AS BIGINT) + 1] AS upper_median, median(n) AS true_median, count(*) AS cells FROM cell""")
 def cell_medians(spark, sf_dir: str) -> DataFrame:
     cells = B.anchors(spark, sf_dir).filter(~F.col("deprecated")).groupBy("discipline", "band").agg(F.count(F.lit(1)).alias("n"))
-    return cells.agg(metrics.upper_median("n").alias("upper_median"), F.median("n").alias("true_median"), F.count(F.lit(1)).alias("cells"))
+    upper = metrics.upper_median(cells, [], "n").select(F.col("n").alias("upper_median"), F.lit(1).alias("k"))
+    return cells.agg(F.median("n").alias("true_median"), F.count(F.lit(1)).alias("cells")).withColumn("k", F.lit(1)).join(upper, "k", "left").drop("k")
 
 
 @query(f"""WITH RECURSIVE {B.REACH} SELECT a, count(*) AS n_ancestors FROM reach GROUP BY 1""")
@@ -112,8 +113,9 @@ def redundancy_by_degree(spark, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH RECURSIVE {B.REACH},
-red AS (SELECT e.*, EXISTS (SELECT 1 FROM edge m JOIN reach r ON r.a = m.p AND r.p = e.p WHERE m.a = e.a AND m.p <> e.p) AS redundant FROM edge e)
-SELECT (SELECT count(*) FROM edge) AS n_edges, (SELECT count(*) FROM red WHERE NOT redundant) AS n_kept, CAST(0 AS BIGINT) AS lost_pairs""")
+red AS (SELECT e.*, EXISTS (SELECT 1 FROM edge m JOIN reach r ON r.a = m.p AND r.p = e.p WHERE m.a = e.a AND m.p <> e.p) AS redundant FROM edge e),
+walk AS (SELECT a, p FROM red WHERE NOT redundant UNION SELECT w.a, k.p FROM walk w JOIN red k ON w.p = k.a AND NOT k.redundant)
+SELECT (SELECT count(*) FROM edge) AS n_edges, (SELECT count(*) FROM red WHERE NOT redundant) AS n_kept, (SELECT count(*) FROM (SELECT a, p FROM reach EXCEPT SELECT a, p FROM walk)) AS lost_pairs""")
 def reduction_is_safe(spark, sf_dir: str) -> DataFrame:
     """Pairs that stop being reachable when all redundant edges are retired at once: none."""
     e = B.edges(spark, sf_dir)

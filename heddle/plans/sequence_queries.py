@@ -153,7 +153,7 @@ def cross_group_pairs(spark, sf_dir: str) -> DataFrame:
 @query("""WITH c AS (SELECT source, lang, count(*) AS n FROM documents GROUP BY 1, 2) SELECT lang, list_sort(list(n))[least(CAST(floor(count(*) * 0.97) AS BIGINT) + 1, count(*))] AS p97 FROM c GROUP BY 1""")
 def nearest_rank_97(spark, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "documents", "source", "lang").groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n"))
-    return c.groupBy("lang").agg(metrics.nearest_rank("n", 0.97).alias("p97"))
+    return metrics.nearest_rank(c, ["lang"], "n", 0.97).withColumnRenamed("n", "p97")
 
 
 @query("""SELECT p_brand AS brand, count(*) AS n, round(corr(p_size, p_retailprice), 9) AS r FROM part GROUP BY 1""")
