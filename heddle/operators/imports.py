@@ -1,58 +1,10 @@
-"""Lists of works brought in: what is new, what is there already, and what people have to decide."""
+"""Lists of works as anchors: titles that are told apart, statements, and one anchor for a whole list."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from heddle.functions import gate
-from heddle.functions import text as T
-from heddle.operators.rules import first_match
-from heddle.sources.tables import settled
-
-# The subject, the form of grades, the verb and template of such anchors, and what is asked of people.
-SUBJECT = "语文"
-GRADE = r"^G(1[0-2]|[1-9])\z"
-WRITE = "默写"
-DIMENSIONS = ("意象理解", "情感体悟", "语言品味")
-
-
-def _first(df: DataFrame, key: str, out: str) -> DataFrame:
-    """key and the smallest seq of it: map-side minima, however often a key repeats."""
-    return df.groupBy(key).agg(F.min("seq").alias(out))
-
-
-def imported_works(works: DataFrame, items: DataFrame, signatures: DataFrame, queue: DataFrame, list_id: str) -> DataFrame:
-    """seq, title, outcome, new_item, statement, signature, to_queue: what becomes of each work of an import.
-
-    works: seq (unique), title, grade; items: listId, key of the lists that are there; signatures: signature of the anchors;
-    queue: kind, title, dimension of what is asked already. Titles are put in normal form first. outcome is `no title`,
-    `no grade` (the stage is a judgement and never guessed), `undecidable`, `there` (an anchor of the signature, or an
-    earlier row) or `new`. new_item: whether the row adds its title to the list. to_queue: structs (kind, dimension) that
-    are not asked yet; only new anchors ask for the dimensions. A second import of the same works does nothing.
-    """
-    title = T.normalized(F.trim(F.coalesce("title", F.lit(""))))
-    # Each step is written: the gate names its statement some hundred times, and would hold its making as often.
-    w = settled(works.select("seq", title.alias("title"), F.coalesce(F.col("grade").rlike(GRADE), F.lit(False)).alias("graded")))
-    statement = T.normalized(F.concat(F.lit(f"能{WRITE}《"), F.col("title"), F.lit("》全诗且无错别字")))
-    w = settled(w.withColumn("statement", statement).withColumn("signature", T.signature(F.lit(SUBJECT), F.lit(WRITE), F.concat("title", F.lit("全诗")))))
-    w = settled(w.withColumn("ok", gate.decidable(F.col("statement"))["ok"]))
-    named, good = F.col("title") != "", F.col("graded") & (F.col("title") != "")
-    w = w.join(_first(w.filter(good), "title", "_item"), "title", "left").join(_first(w.filter(good & F.col("ok")), "signature", "_anchor"), "signature", "left")
-    w = w.join(_first(w.filter(named & ~F.col("graded")), "title", "_asks"), "title", "left")
-    there = items.filter(F.col("listId") == list_id).select(F.col("key").alias("title")).distinct().withColumn("_listed", F.lit(True))
-    known = signatures.select("signature").distinct().withColumn("_known", F.lit(True))
-    asked = queue.groupBy("title").agg(F.collect_set(F.concat_ws("|", "kind", F.coalesce("dimension", F.lit("")))).alias("_asked"))  # a closed set of kinds
-    w = w.join(there, "title", "left").join(known, "signature", "left").join(asked, "title", "left")
-    outcome = first_match(
-        [(~named, "no title"), (~F.col("graded"), "no grade"), (~F.col("ok"), "undecidable"), (F.coalesce("_known", F.lit(False)) | (F.col("seq") != F.col("_anchor")), "there")], "new"
-    )
-    w = w.withColumn("outcome", outcome)
-    ask = lambda kind, dim, when: F.when(when & ~F.coalesce(F.array_contains("_asked", f"{kind}|{dim}"), F.lit(False)), F.struct(F.lit(kind).alias("kind"), F.lit(dim).alias("dimension")))
-    asks = [ask("NEED_GRADE", "", (F.col("outcome") == "no grade") & (F.col("seq") == F.col("_asks"))), *[ask("NEED_ANCHOR", d, F.col("outcome") == "new") for d in DIMENSIONS]]
-    new_item = good & (F.col("seq") == F.col("_item")) & F.col("_listed").isNull()
-    return w.select("seq", "title", "outcome", F.coalesce(new_item, F.lit(False)).alias("new_item"), "statement", "signature", F.array_compact(F.array(*asks)).alias("to_queue"))
-
 
 def shown_titles(items: DataFrame) -> DataFrame:
     """items (key, firstLine, author, ...) with shown: the title, and of titles that more than one work has the first seven

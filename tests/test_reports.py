@@ -73,19 +73,6 @@ def test_edge_labels(spark):
     assert reports.signature_length(e).first()["length"] == 12
 
 
-def test_import_of_works(spark):
-    works = spark.createDataFrame([(1, "静夜思", "G1"), (2, "静夜思", "G2"), (3, " ", "G1"), (4, "春晓", None), (5, "春晓", "G13"), (6, "咏鹅", "G1"), (7, "悯农", "G1")], "seq int, title string, grade string")
-    items = spark.createDataFrame([("lst_a", "咏鹅"), ("lst_b", "悯农")], "listId string, key string")
-    none = spark.createDataFrame([], "signature string")
-    queue = spark.createDataFrame([("NEED_ANCHOR", "悯农", "意象理解")], "kind string, title string, dimension string")
-    got = {r["seq"]: r for r in imports.imported_works(works, items, none, queue, "lst_a").collect()}
-    assert {k: r["outcome"] for k, r in got.items()} == {1: "new", 2: "there", 3: "no title", 4: "no grade", 5: "no grade", 6: "new", 7: "new"}
-    assert [k for k, r in sorted(got.items()) if r["new_item"]] == [1, 7]
-    assert [len(got[k]["to_queue"]) for k in range(1, 8)] == [3, 0, 0, 1, 0, 3, 2]
-    known = spark.createDataFrame([(got[1]["signature"],)], "signature string")
-    assert {r["seq"]: r["outcome"] for r in imports.imported_works(works, items, known, queue, "lst_a").filter("seq < 3").collect()} == {1: "there", 2: "there"}
-
-
 def test_titles_that_two_works_have(spark):
     df = spark.createDataFrame([("凉州词", "黄河远上白云间一片", "王之涣"), ("凉州词", None, "王翰"), ("春晓", "春眠不觉晓", "孟浩然")], "key string, firstLine string, author string")
     assert sorted(r["shown"] for r in imports.shown_titles(df).collect()) == sorted(["凉州词（黄河远上白云间）", "凉州词·王翰", "春晓"])
