@@ -328,3 +328,10 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     from difflib import SequenceMatcher
 
     return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
+
+
+def json_values(json: Column) -> Column:
+    """A JSON value as an array of strings: an array's elements, a scalar alone; none for null, false, 0 and an empty string."""
+    one = F.get_json_object(F.concat(F.lit('{"v":'), json, F.lit("}")), "$.v")
+    many = F.coalesce(F.from_json(json, "array<string>"), F.array().cast("array<string>"))
+    return F.when(json.rlike(r"^\s*\["), many).when(F.coalesce(one, F.lit("")).isin("", "false", "0"), F.array().cast("array<string>")).otherwise(F.array(one))

@@ -24,3 +24,10 @@ def list_container(items: DataFrame, keys: list[str], page: str) -> DataFrame:
     """keys, n, page_range: what one anchor of a whole list says of its items; pages as text, without a range if unknown."""
     ends = F.concat(F.min(page), F.lit("–"), F.max(page))
     return items.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.coalesce(ends, F.lit("")).alias("page_range"))
+
+
+def page_span(items: Column, page: str) -> Column:
+    """struct(pages, first, last): the distinct pages of an array of structs in order, without those that are not known;
+    no ends where none is."""
+    pages = F.array_sort(F.array_distinct(F.filter(F.transform(items, lambda x: x[page]), lambda x: x.isNotNull())))
+    return F.struct(pages.alias("pages"), F.array_min(pages).alias("first"), F.array_max(pages).alias("last"))

@@ -99,3 +99,35 @@ def open_tasks(state: DataFrame, tasks: dict[str, tuple[Column, Column]]) -> Dat
     """task, done, got of tasks that are a condition on the state and what to show of it; a null condition is not done."""
     rows = [F.struct(F.lit(k).alias("task"), F.coalesce(done, F.lit(False)).alias("done"), got.cast("string").alias("got")) for k, (done, got) in tasks.items()]
     return state.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+
+
+def funnel(rows: DataFrame, group: list[str], stages: list[tuple[str, Column]]) -> DataFrame:
+    """group, raw and, for each named stage, the rows that pass it and all stages before it (null does not pass)."""
+    passed, counts = F.lit(True), [F.count(F.lit(1)).alias("raw")]
+    for name, c in stages:
+        passed = passed & c
+        counts.append(F.count(F.when(passed, 1)).alias(name))
+    return rows.groupBy(*group).agg(*counts)
+
+
+#: A number in a text that is kept up to date, with its key and what it shows.
+MARKER = r"<!--N:([A-Za-z][\w-]*)-->([\s\S]*?)<!--/N-->"
+
+
+def markers(documents: DataFrame, values: DataFrame) -> DataFrame:
+    """id, nth, key, shown, wanted, state (unknown: no such key; stale; fresh) of each marker. documents: id, text; values:
+    key, wanted. Blanks around what is shown or wanted do not count."""
+    text = F.coalesce("text", F.lit(""))
+    both = F.arrays_zip(F.regexp_extract_all(text, F.lit(MARKER), 1).alias("key"), F.regexp_extract_all(text, F.lit(MARKER), 2).alias("shown"))
+    bare = lambda c: F.regexp_replace(c, r"^\s+|\s+\z", "")
+    found = documents.select("id", F.posexplode(both).alias("nth", "m")).select("id", (F.col("nth") + 1).alias("nth"), "m.key", bare("m.shown").alias("shown"))
+    state = F.when(F.col("wanted").isNull(), "unknown").when(F.col("shown") != bare("wanted"), "stale").otherwise("fresh")
+    return found.join(values.select("key", "wanted"), "key", "left").select("id", "nth", "key", "shown", "wanted", state.alias("state"))
+
+
+def filled(text: Column, values: dict[str, str]) -> Column:
+    """The text with each marker of a known key showing its value; others stay."""
+    for key, value in values.items():
+        plain = str(value).replace("\\", "\\\\").replace("$", "\\$")
+        text = F.regexp_replace(text, rf"(<!--N:{key}-->)[\s\S]*?(<!--/N-->)", f"$1{plain}$2")
+    return text

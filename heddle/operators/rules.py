@@ -171,3 +171,15 @@ def derived_violations(anchors: DataFrame) -> DataFrame:
         "id",
         kind="anchor",
     )
+
+
+def mapping_violations(mappings: DataFrame, anchors: DataFrame) -> DataFrame:
+    """Violations of mappings (key, framework, code, textIncluded, summary, anchorIds): parts that do not make the key, text
+    where only codes may be, keys that repeat (detail: by how many rows) and anchors that are not there. anchors: id."""
+    parts = ~F.col("key").eqNullSafe(F.concat("framework", F.lit(":"), "code"))
+    text = (F.col("textIncluded") == False) & (F.coalesce("summary", F.lit("")) != "")  # noqa: E712
+    rows = violations(mappings, [Rule("KEY_PARTS", "key is not framework:code", parts), Rule("CODES_ONLY", "summary beside codes only", text)], "key", kind="mapping")
+    found = lambda df, code, message, detail: df.select(F.lit("mapping").alias("record_kind"), "key", F.lit(code).alias("code"), F.lit("error").alias("severity"), F.lit(message).alias("message"), F.col(detail).cast("string").alias("detail"))
+    again = mappings.groupBy("key").agg((F.count(F.lit(1)) - 1).alias("again")).filter("again > 0")
+    named = mappings.select("key", F.explode("anchorIds").alias("id")).join(anchors.select("id"), "id", "left_anti")
+    return rows.union(found(again, "DUPLICATE_KEY", "key repeats", "again")).union(found(named, "DANGLING_ANCHOR", "anchor is not there", "id"))

@@ -51,10 +51,3 @@ def anchor_detail(spark, sf_dir: str) -> DataFrame:
 def descendant_sizes(spark, sf_dir: str) -> DataFrame:
     d = graph.descendants(B.edges(spark, sf_dir), B.anchors(spark, sf_dir))
     return d.groupBy("root").agg(F.count(F.lit(1)).alias("n_descendants"))
-
-
-@query(None)
-def minted_ids(spark, sf_dir: str) -> DataFrame:
-    """New ids of all anchors, none used before or given twice."""
-    a = B.anchors(spark, sf_dir).select("id").withColumnRenamed("id", "key")
-    return curation.minted(a, "key", spark.createDataFrame([("ca_AAAAAAAA",)], "id string"))
