@@ -82,9 +82,12 @@ def normalized_once(c: Column, latin: bool | Column = False) -> Column:
 
 
 def normalized(c: Column, latin: bool | Column = False, rounds: int = 4) -> Column:
-    """The fixpoint of the normal form: up to `rounds` passes (a pass need not be the last one)."""
+    """The fixpoint of the normal form: up to `rounds` passes (a pass need not be the last one).
+
+    What a pass reads is the variable of a lambda: written out, each pass would repeat all passes before it four times.
+    """
     for _ in range(rounds):
-        c = normalized_once(nfkc(c), latin)
+        c = F.get(F.transform(F.array(nfkc(c)), lambda x: normalized_once(x, latin)), F.lit(0))
     return c
 
 

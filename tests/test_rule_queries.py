@@ -53,3 +53,34 @@ def test_markers_and_what_fills_them(spark):
     out = docs.filter("id = 1").select(reports.filled(F.col("text"), {"n": "5", "cost": "$1\\2"}).alias("t"))
     assert out.first()["t"] == "a <!--N:n-->5<!--/N--> b <!--N:cost-->$1\\2<!--/N--> <!--N:no-->x<!--/N--> <!--N:n-->5<!--/N-->"
     assert reports.markers(out.select(F.lit(1).alias("id"), F.col("t").alias("text")), values).filter("state = 'stale'").isEmpty()
+
+
+def test_works_are_imported_once(spark):
+    schema = "seq long, title string, author string, dynasty string, grade string, tags array<string>"
+    rows = [
+        (1, " 静夜思 ", "李白", "唐", "G2", ["月"]),
+        (2, "静夜思", "李白", "唐", "G3", None),
+        (3, "春晓", "孟浩然", "", "G1", None),
+        (4, "悯农", "李绅", "唐", None, None),
+        (5, "悯农", "李绅", "唐", "G13", None),
+        (6, None, None, None, "G1", None),
+        (7, "咏鹅", "骆宾王", "唐", "G1", ["唐诗"]),
+        (8, "登鹳雀楼", "王之涣", "唐", "G2", None),
+    ]
+    works = spark.createDataFrame(rows, schema)
+    listed = spark.createDataFrame([("春晓",)], "key string")
+    known = spark.range(1).select(T.signature(F.lit("语文"), F.lit("默写"), F.lit("能默写《咏鹅》全诗且无错别字")).alias("sig"))
+    queued = spark.createDataFrame([("NEED_ANCHOR", "春晓", "情感体悟")], "kind string, title string, dimension string")
+    used = spark.createDataFrame([], "id string")
+    got = imports.import_works(works, listed, known, queued, used)
+    anchors = {r["title"]: r for r in got.anchors.collect()}
+    assert set(anchors) == {"静夜思", "春晓", "登鹳雀楼"} and anchors["静夜思"]["grade"] == "G2"
+    assert anchors["春晓"]["statement"] == "能默写《春晓》全诗且无错别字" and len({r["id"] for r in anchors.values()}) == 3
+    items = {r["title"]: (r["tags"], r["anchor_id"]) for r in got.list_items.collect()}
+    assert items == {"静夜思": (["月", "唐诗"], anchors["静夜思"]["id"]), "咏鹅": (["唐诗"], None), "登鹳雀楼": (["唐诗"], anchors["登鹳雀楼"]["id"])}
+    queue = {(r["kind"], r["title"], r["dimension"]) for r in got.queue.collect()}
+    assert queue == {("NEED_GRADE", "悯农", None)} | {("NEED_ANCHOR", t, s) for t in anchors for s in imports.SIDES} - {("NEED_ANCHOR", "春晓", "情感体悟")}
+    assert {(r["seq"], r["reason"]) for r in got.skipped.collect()} == {(2, "anchor is known"), (4, "no year"), (5, "no year"), (6, "no title"), (7, "anchor is known")}
+
+    again = imports.import_works(works, spark.createDataFrame([(t,) for t in ("春晓", *items)], "key string"), known.union(got.anchors.select("sig")), got.queue.unionByName(queued, allowMissingColumns=True), used)
+    assert again.list_items.isEmpty() and again.anchors.isEmpty() and again.queue.isEmpty()
