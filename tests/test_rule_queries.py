@@ -84,3 +84,9 @@ def test_works_are_imported_once(spark):
 
     again = imports.import_works(works, spark.createDataFrame([(t,) for t in ("春晓", *items)], "key string"), known.union(got.anchors.select("sig")), got.queue.unionByName(queued, allowMissingColumns=True), used)
     assert again.list_items.isEmpty() and again.anchors.isEmpty() and again.queue.isEmpty()
+
+
+def test_fields_that_are_not_in_normal_form(spark):
+    df = spark.createDataFrame([("水 在 沸腾", "ok"), (None, "ok")], "a string, b string")
+    got = df.select(F.explode(T.unnormalized(["a", "b"])).alias("u")).select("u.*").collect()
+    assert [tuple(r) for r in got] == [("a", "水 在 沸腾", "水在沸腾")]
