@@ -3,9 +3,8 @@
 Texts with equal shingle sets are one node. In each band a bucket's smallest document is its pivot and the others are
 paired with it (no bucket makes all pairs). Pairs whose signatures agree enough are confirmed on their full sets, and
 confirmed pairs become components. A bucket whose members are then in more than one component could still hide a link:
-the pairs across components are tried too, in large buckets (over `SMALL` members) those of which 4096-bit sketches
-agree. So what is left to chance is that two similar texts share no band (5e-6 at similarity 0.75, less above) or that
-their signatures or sketches are 7 deviations off.
+the members of such buckets are joined across components by an exact prefix filter, and what that leaves is confirmed. So
+what is left to chance is that two similar texts share no band (5e-6 at similarity 0.75, less above).
 
 Defined cases: null, empty and blank texts have no shingles and are linked with nothing; rows of one id are one document
 that has the links of each of its texts; rows with a null id are linked with nothing and have a null component; an empty
@@ -17,7 +16,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import store
@@ -30,11 +29,6 @@ BAND = 4
 BANDS = MINIMA // BAND
 #: Pairs that agree in fewer minima are not looked at again: 7 deviations below what 0.75 gives.
 LEAST_EQUAL = 62
-SMALL = 24
-#: Longs of a sketch, and the most bits that two may differ in: 512 are expected at 0.75, 7 deviations are allowed,
-#: as many as to the signatures of small buckets.
-SKETCH = 64
-MOST_APART = 660
 CACHE = 300_000
 
 _rng = np.random.Generator(np.random.PCG64(20240))
@@ -42,8 +36,6 @@ _PLACE = _rng.integers(1, 2**63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uin
 _A = (_rng.integers(1, 2**63, (MINIMA, 1), dtype=np.uint64) * np.uint64(2)) + np.uint64(1)
 _B = _rng.integers(0, 2**63, (MINIMA, 1), dtype=np.uint64)
 _BAND = _rng.integers(1, 2**63, BAND, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_SA = (_rng.integers(1, 2**63, (64 * SKETCH, 1), dtype=np.uint64) * np.uint64(2)) + np.uint64(1)
-_SB = _rng.integers(0, 2**63, (64 * SKETCH, 1), dtype=np.uint64)
 
 
 class WordHashes(dict):
@@ -165,42 +157,48 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def _across(members: DataFrame, docs: DataFrame, nodes: DataFrame, tried: DataFrame) -> DataFrame:
-    """Pairs (a, b) to confirm in buckets with several components, without those tried. members: key, id, n, comp."""
-    per = members.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("rows"))
-    keys = per.groupBy("key").agg(F.sum("rows").alias("rows"), F.max(F.struct("rows", "comp")).alias("top"), F.count(F.lit(1)).alias("comps")).filter("comps > 1")
-    keys = store.keep(keys.select("key", "rows", F.col("top.comp").alias("top")), "split-buckets")
-    open_ = store.keep(members.join(keys, "key"), "split-members")
-    pair = (F.col("x.comp") != F.col("y.comp")) & ((F.col("y.comp") == F.col("y.top")) | (F.col("x.id") < F.col("y.id"))) & (100 * F.least("x.n", "y.n") >= THRESHOLD * F.greatest("x.n", "y.n"))
-    ends = [F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")]
-    small = open_.filter(F.col("rows") <= SMALL)
-    odd = lambda df: df.filter(F.col("comp") != F.col("top"))
-    out = alike(odd(small).alias("x").join(small.alias("y"), (F.col("x.key") == F.col("y.key")) & pair).select(*ends).distinct().join(tried, ["a", "b"], "left_anti"), nodes)
-    large = store.keep(open_.filter(F.col("rows") > SMALL), "large")
-    if not large.isEmpty():
-        # Sketches are compared inside the join, and a pair that meets in several buckets comes from the first of them.
-        keys_of = large.groupBy("id").agg(F.array_sort(F.collect_set("key")).alias("keys"))  # at most one a band
-        able = store.keep(large.join(store.keep(sketched(docs.join(keys_of, "id")), "sketches"), "id"), "able")
-        apart = sum((F.bit_count(F.col(f"x.s{k}").bitwiseXOR(F.col(f"y.s{k}"))) for k in range(SKETCH)), F.lit(0))
-        fits = pair & (apart <= MOST_APART) & (F.element_at(F.array_intersect("x.keys", "y.keys"), 1) == F.col("x.key"))
-        out = out.union(odd(able).alias("x").join(able.alias("y"), (F.col("x.key") == F.col("y.key")) & fits).select(*ends))
-    return out.distinct().join(tried, ["a", "b"], "left_anti")
-
-
-def sketched(docs: DataFrame) -> DataFrame:
-    """docs (id, text, keys) with one bit of each of 64 * SKETCH minima instead of the text, as the longs s0, s1, ..."""
+def _contested(rows: DataFrame) -> DataFrame:
+    """key, top (the component with most rows) and least (n) of the keys of which rows are in several components."""
+    per = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("rows"), F.min("n").alias("n"))
+    keys = per.groupBy("key").agg(F.max(F.struct("rows", "comp")).alias("top"), F.min("n").alias("least"), F.count(F.lit(1)).alias("comps"))
+    return keys.filter("comps > 1").select("key", F.col("top.comp").alias("top"), "least")
+
+
+def _across(members: DataFrame, texts: DataFrame, tried: DataFrame) -> DataFrame:
+    """Pairs (a, b) to confirm in buckets with several components, without those tried. members: key, id, n, comp.
+
+    The members' shingles are put in one order, rarest among them first. A link needs so many common shingles that the
+    first of them has as many places after it on both sides, so only the first ones of each document are met (a prefix
+    filter, exact), and only across components. How far a document's go depends on the smallest size in its buckets.
+    """
+    keys = store.keep(_contested(members), "split-buckets")
+    open_ = store.keep(members.join(keys.drop("top"), "key").groupBy("id", "n", "comp").agg(F.min("least").alias("least")), "split-members")
+    sets = store.keep(shingled(store.split(texts, "id", open_)[0].join(open_.drop("comp"), "id").select("id", "n", "least", "text")), "split-sets")
+    each = sets.select("id", "n", "last", F.explode("shingles").alias("key"))
+    # A shingle of one document meets none, but has its place before all others.
+    counts = store.keep(each.groupBy("key").agg(F.count(F.lit(1)).alias("k")).filter("k > 1"), "shingle-counts")
+    own = Window.partitionBy("id")
+    ranked = each.join(counts, "key").withColumn("place", F.row_number().over(own.orderBy("k", "key")) - 1 + F.col("n") - F.count(F.lit(1)).over(own))
+    first = store.keep(ranked.filter("place <= last").select("key", "id", "n", "place").join(open_.select("id", "comp"), "id"), "first-shingles")
+    met = store.keep(first.join(store.keep(_contested(first).drop("least"), "split-shingles"), "key"), "contested")
+    common = (100 + THRESHOLD) * F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place")) >= THRESHOLD * (F.col("x.n") + F.col("y.n"))
+    pair = (F.col("x.comp") != F.col("y.comp")) & ((F.col("y.comp") == F.col("y.top")) | (F.col("x.id") < F.col("y.id"))) & common
+    out = met.filter("comp <> top").alias("x").join(met.alias("y"), (F.col("x.key") == F.col("y.key")) & pair)
+    return out.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+
+
+def shingled(docs: DataFrame) -> DataFrame:
+    """id, n, last (the last place, from 0, that the first common shingle of a link may have), shingles of docs (id, n,
+    least: the smallest size that it may meet, text)."""
 
     def run(batches):
         for batch in batches:
-            rows = np.empty((batch.num_rows, SKETCH), np.int64)
-            for i, t in enumerate(batch.column(1).to_pylist()):
-                s, least = shingles(t), np.full(64 * SKETCH, 2**64 - 1, np.uint64)
-                for at in range(0, len(s), 64):
-                    np.minimum(least, (_SA * s[None, at : at + 64] + _SB).min(1), out=least)
-                rows[i] = np.packbits((_mix(least >> np.uint64(20)) & np.uint64(1)).astype(np.uint8)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *[pa.array(rows[:, k]) for k in range(SKETCH)]], ["id", "keys", *[f"s{k}" for k in range(SKETCH)]])
+            n, least = (batch.column(k).to_numpy() for k in (1, 2))
+            size = np.maximum(least, -(-THRESHOLD * n // 100))
+            sets = [shingles(t).view(np.int64) for t in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array((100 * n - THRESHOLD * size) // (100 + THRESHOLD)), pa.array(sets, pa.list_(pa.int64()))], ["id", "n", "last", "shingles"])
 
-    return docs.select("id", "text", "keys").mapInArrow(run, "id long, keys array<long>, " + ", ".join(f"s{k} long" for k in range(SKETCH)))
+    return docs.mapInArrow(run, "id long, n long, last long, shingles array<long>")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -230,7 +228,7 @@ def _linked(all_rows: DataFrame, texts: DataFrame) -> DataFrame:
     links = store.keep(confirmed(pairs, texts), "links")
     comps = store.keep(components(links), "components")
     placed = member.select("key", "id", "n").join(comps, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("comp"))
-    more = store.keep(_across(store.keep(placed, "placed"), texts, nodes, pairs), "more-pairs")
+    more = store.keep(_across(store.keep(placed, "placed"), texts, pairs), "more-pairs")
     if not more.isEmpty():
         found = store.keep(confirmed(more, texts), "more-links")
         if not found.isEmpty():

@@ -54,6 +54,39 @@ def test_near_duplicates_match_brute_force(spark):
     assert got == expected_components(rows)
 
 
+def test_pairs_that_just_miss_the_threshold_are_not_all_confirmed(spark, monkeypatch):
+    rng = random.Random(34)
+    base = prose(rng, 150).split()
+    texts = [" ".join([*base, "end%d" % k]) for k in range(100)]  # one large component
+    for k in range(60):  # each 0.744 like each of those, and linked with none
+        at = rng.randrange(5, 120)
+        texts.append(" ".join([*base[:at], *["new%d_%d" % (k, j) for j in range(17)], *base[at + 17 :]]))
+    texts += [" ".join([*base[:40], *["new7_%d" % j for j in range(9)], *base[49:]]), " ".join([*base[:60], "one", "two", *base[62:]])]
+    rng.shuffle(texts)
+    rows, tried, real = list(enumerate(texts)), [], minhash.confirmed
+    monkeypatch.setattr(minhash, "confirmed", lambda pairs, of: tried.append(pairs.count()) or real(pairs, of))
+    got = {r["id"]: (r["n"], r["component"]) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == expected_components(rows)
+    assert sum(tried) < 2000  # of 6,000 pairs that just miss it
+
+
+def test_links_across_sizes_are_not_lost_to_the_prefixes(spark):
+    rng = random.Random(35)
+    base = prose(rng, 300).split()
+    rows = []
+    for k in range(150):  # parts of one text, of many sizes
+        size = rng.randrange(20, 300)
+        at = rng.randrange(0, 300 - size)
+        rows.append((k, edited(rng, " ".join(base[at : at + size]), rng.randrange(0, 1 + size // 25))))
+    nodes = spark.createDataFrame([(7, i, len(shingles(t)), i) for i, t in rows], "key long, id long, n long, comp long")
+    tried = spark.createDataFrame([], "a long, b long")
+    texts = spark.createDataFrame(rows, "id long, text string")
+    got = {(r["a"], r["b"]) for r in minhash._across(nodes, texts, tried).collect()}
+    sets = {i: shingles(t) for i, t in rows}
+    links = {(i, j) for i in sets for j in sets if i < j and sets[i] != sets[j] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])}
+    assert len(links) > 100 and links <= got
+
+
 def test_near_duplicates_odd_and_empty(odd, none):
     rows = minhash.near_duplicates(odd).collect()
     assert len(rows) == odd.count()
