@@ -73,10 +73,26 @@ def tables(spark: SparkSession):
             outer.paths += own.paths
 
 
+#: While it is true, Spark deletes a query's shuffle files when the query ends, not when the driver's collector finds them.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def cleaned(spark: SparkSession):
+    """The queries inside leave no shuffle files."""
+    before = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEAN, before)
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it again: lineage is cut, a lost executor costs nothing."""
     path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
+    with cleaned(df.sparkSession):
+        df.write.parquet(path)
     own = _tables.get()
     if own is not None:
         own.paths.append(path)

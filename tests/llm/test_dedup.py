@@ -302,3 +302,20 @@ def test_cut_keeps_the_rest():
     assert substring.without("a b\nc  d e", [(1, 3)]) == "a d e"
     assert substring.without("a b c", [(0, 2), (1, 3)]) == ""
     assert substring.without("a b c", []) == "a b c"
+
+
+def test_passages_leave_no_shuffle_files(spark):
+    import glob
+    import time
+
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {f for d in manager.localDirsString() for f in glob.glob(f"{d}/*/shuffle_*")}
+    rng = random.Random(41)
+    passage = prose(rng, 80)
+    before = files()
+    substring.passages(spark.createDataFrame([(1, passage), (2, prose(rng, 30) + " " + passage)], "doc_id long, text string"))
+    for _ in range(50):  # files go a moment after their query
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not files() - before
