@@ -1,11 +1,10 @@
 """Substring dedup (8): fuzzy passages that documents share, by collinear chaining of k-mer seeds.
 
-Every text gives seeds: the 5-word runs of which the second of the four pairs of words has the least hash (open
-syncmers). Whether a run is a seed depends on its own words only, so two texts that share the run share the seed; one run
-in four is one. Each seed's first occurrence (smallest id, then place) is its anchor, and all other occurrences are joined
-to that one: a star, so a passage that stands in very many documents makes no pairs among them. The matches of a document
-with one anchor document are merged along diagonals and chained in order with linear gap costs by prefix maxima in a
-Fenwick tree. A chain of two seeds or more is extended and aligned on the words, and kept if it covers `MIN_WORDS` words
+Every run of 5 words of a text is a seed. Each seed's first occurrence (smallest id, then place) is its anchor, and all
+other occurrences are joined to that one: a star, so a passage that stands in very many documents makes no pairs among them.
+Rows are met in parts: a part asks once for each of its distinct seeds, gets the anchors of those that two documents have,
+and reads its texts again with them. The matches of a document with one anchor document are merged along diagonals and
+chained in order with linear gap costs by prefix maxima in a Fenwick tree. A chain of two seeds or more is extended and aligned on the words, and kept if it covers `MIN_WORDS` words
 with `MIN_IDENTITY` of them equal; of a chain that is less alike the parts that are kept. A document's largest chains come
 first; one that lies inside of another is aligned only if no passage found covers it.
 
@@ -23,7 +22,10 @@ are not compared; equal ids are one document and share nothing with each other;
 from __future__ import annotations
 
 import bisect
+import functools
+import itertools
 import re
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +36,11 @@ from . import store
 from .minhash import _PLACE, _mix, word_hashes
 
 K = 5
+#: Words of the rows whose seeds are met together, and bytes of words for which there is a bucket of seeds.
+PART_WORDS = 1 << 19
+BUCKET_BYTES = 8 << 20
+#: All seeds are met in so many turns, one after another, which need that much less disk at a time.
+TURNS = 4
 MIN_WORDS = 50
 MIN_IDENTITY = 0.75
 #: Seeds that a chain must have to be aligned.
@@ -49,46 +56,142 @@ _SKIPS = sorted(((a, b) for a in range(SKIP + 1) for b in range(SKIP + 1) if a o
 
 
 def worded(docs: DataFrame) -> DataFrame:
-    """id and words (a 32-bit hash of each word, little-endian) of every row with an id; docs: id, text."""
+    """id, words (a 32-bit hash of each word, little-endian) and part of every row with an id; docs: id, text.
+
+    A part is some rows in a row of about PART_WORDS words, whose seeds are met together.
+    """
 
     def run(batches):
+        part, size = uuid.uuid4().int >> 65, 0
         for batch in batches:
-            words = [word_hashes(t).astype("<u4").tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.binary())], ["id", "words"])
+            words, parts = [word_hashes(t).astype("<u4").tobytes() for t in batch.column(1).to_pylist()], []
+            for w in words:
+                if size >= PART_WORDS:
+                    part, size = uuid.uuid4().int >> 65, 0
+                size += len(w) // 4
+                parts.append(part)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.binary()), pa.array(parts, pa.int64())], ["id", "words", "part"])
 
-    return docs.filter("id is not null").mapInArrow(run, "id long, words binary")
+    return docs.filter("id is not null").mapInArrow(run, "id long, words binary, part long")
 
 
-def sampled(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, place) of a text's seeds; words: its word hashes."""
-    n = len(words) - K + 1
-    if n < 1:
-        return np.empty(0, np.int64), np.empty(0, np.int32)
-    h = words.astype(np.uint64)
-    two = _mix(h[:-1] * _PLACE[0] + h[1:] * _PLACE[1])
-    a, b, c, d = (two[j : j + n] for j in range(K - 1))
-    at = np.flatnonzero((b <= a) & (b <= c) & (b <= d))
-    s = np.zeros(len(at), np.uint64)
+def seeds_of(words: np.ndarray) -> np.ndarray:
+    """A hash of each K words in a row; words: word hashes."""
+    n = max(0, len(words) - K + 1)
+    h, s = words.astype(np.uint64), np.zeros(n, np.uint64)
     for j in range(K):
-        s += h[at + j] * _PLACE[j]
-    return _mix(s).view(np.int64), at.astype(np.int32)
+        s += h[j : j + n] * _PLACE[j]
+    return _mix(s)
 
 
-def _placed(parts: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    """seed, id, pos of the (id, seeds, places) of some documents."""
-    ids = np.repeat(np.array([i for i, _, _ in parts], np.int64), [len(x) for _, x, _ in parts])
-    columns = [np.concatenate([np.empty(0, np.int64), *[x for _, x, _ in parts]]), ids, np.concatenate([np.empty(0, np.int32), *[y for _, _, y in parts]])]
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["seed", "id", "pos"])
+def _packed(x: np.ndarray) -> bytes:
+    """Numbers from 0 on, in as few bytes each as the greatest needs."""
+    return x.astype("<u2" if x.max() < 1 << 16 else "<u4" if x.max() < 1 << 32 else "<u8").tobytes()
+
+
+def _unpacked(x: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(x, f"<u{len(x) // n}").astype(np.uint64)
+
+
+def _above(x: np.ndarray, low: int) -> np.ndarray:
+    return x.view(np.uint64) - np.array([low]).view(np.uint64)
+
 
+def _runs(rows, key: int):
+    """(key, rows) of rows that come sorted by their key."""
+    return ((k, list(own)) for k, own in itertools.groupby(rows, lambda r: r[key]))
 
-def seeds_of(words: DataFrame) -> DataFrame:
-    """seed, id, pos of every seed; words: id, words."""
+
+def _rows(batches):
+    for batch in batches:
+        yield from zip(*[c.to_pylist() for c in batch.columns], strict=True)
+
+
+ENTRIES = "n int, seeds binary, low long, ids binary, places binary"
+
+
+def _entries(seeds: np.ndarray, ids: np.ndarray, places: np.ndarray) -> tuple[int, bytes, int, bytes, bytes]:
+    low = int(ids.min())
+    return len(seeds), seeds.tobytes(), low, _packed(_above(ids, low)), _packed(places)
+
+
+def _read(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """seeds, ids, places of rows that end with ENTRIES."""
+    parts = [(np.frombuffer(s, "<u8"), (_unpacked(i, n) + np.array([low]).view(np.uint64)).view(np.int64), _unpacked(p, n).astype(np.int64)) for n, s, low, i, p in (r[-5:] for r in rows)]
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+def first_in_part(words: DataFrame, buckets: int, turn: int) -> DataFrame:
+    """bucket (by the seed), part, many (a bit a seed: two documents of the part have it) and ENTRIES of the first place
+    of each seed of a turn in each part; words: id, words, part."""
 
     def run(batches):
-        for batch in batches:
-            yield _placed([(i, *sampled(np.frombuffer(w, "<u4"))) for i, w in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)])
+        for part, rows in _runs(_rows(batches), 2):
+            rows.sort(key=lambda r: r[0])
+            found = [seeds_of(np.frombuffer(w, "<u4")) for _, w, _ in rows]
+            now = [np.flatnonzero(s % np.uint64(TURNS) == turn) for s in found]
+            seeds, ids = np.concatenate([s[k] for s, k in zip(found, now, strict=True)]), np.repeat(np.array([i for i, _, _ in rows], np.int64), [len(k) for k in now])
+            if not len(seeds):
+                continue
+            places = np.concatenate(now)
+            order = np.argsort(seeds, kind="stable")
+            seeds = seeds[order]
+            begins = np.flatnonzero(np.append(True, seeds[1:] != seeds[:-1]))
+            first, last = order[begins], order[np.append(begins[1:], len(seeds)) - 1]
+            seeds, many = seeds[begins], ids[first] != ids[last]
+            bucket = ((seeds >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+            cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(seeds)]
+            out = [(int(bucket[a]), part, np.packbits(many[a:b]).tobytes(), *_entries(seeds[a:b], ids[first[a:b]], places[first[a:b]])) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), [pa.int32(), pa.int64(), pa.binary(), *_ENTRIES], strict=True)], ["bucket", "part", "many", *_NAMES])
+
+    return words.select("id", "words", "part").mapInArrow(run, "bucket int, part long, many binary, " + ENTRIES)
+
 
-    return words.mapInArrow(run, "seed long, id long, pos int")
+_NAMES = [x.split()[0] for x in ENTRIES.split(", ")]
+_ENTRIES = [pa.int32(), pa.binary(), pa.int64(), pa.binary(), pa.binary()]
+
+
+def first_of_all(asked: DataFrame) -> DataFrame:
+    """part and ENTRIES of the first place in all parts of each seed of a part that two documents have; asked: rows of
+    first_in_part.
+
+    A part asks once for a seed, however often it has it, so no seed has more rows than there are parts.
+    """
+
+    def run(batches):
+        for _, rows in _runs(_rows(batches), 0):
+            seeds, ids, places = _read(rows)
+            sizes = [r[3] for r in rows]
+            many = np.concatenate([np.unpackbits(np.frombuffer(r[2], np.uint8), count=r[3]) for r in rows]).astype(bool)
+            order = np.argsort(seeds, kind="stable")
+            new = np.append(True, seeds[order[1:]] != seeds[order[:-1]])
+            alone = new & np.append(new[1:], True) & ~many[order]
+            some = order[~alone]
+            if not len(some):
+                continue
+            some = some[np.lexsort((places[some], ids[some], seeds[some]))]
+            new = np.append(True, seeds[some[1:]] != seeds[some[:-1]])
+            begins, group = np.flatnonzero(new), np.cumsum(new) - 1
+            last = np.append(begins[1:], len(some)) - 1
+            shared = (ids[some[begins]] != ids[some[last]]) | np.logical_or.reduceat(many[some], begins)
+            first, some = some[begins][group[shared[group]]], some[shared[group]]
+            source = np.repeat(np.arange(len(rows)), sizes)[some]
+            order = np.argsort(source, kind="stable")
+            first, some, source = first[order], some[order], source[order]
+            if not len(some):
+                continue
+            cuts = [0, *(np.flatnonzero(np.diff(source)) + 1).tolist(), len(some)]
+            out = [(rows[source[a]][1], *_entries(seeds[some[a:b]], ids[first[a:b]], places[first[a:b]])) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), [pa.int64(), *_ENTRIES], strict=True)], ["part", *_NAMES])
+
+    return asked.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "part long, " + ENTRIES)
+
+
+def _placed(parts: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    """seed, id, pos of the (id, seeds, places) of some documents."""
+    ids = np.repeat(np.array([i for i, _, _ in parts], np.int64), [len(x) for _, x, _ in parts])
+    columns = [np.concatenate([np.empty(0, np.int64), *[x for _, x, _ in parts]]), ids, np.concatenate([np.empty(0, np.int32), *[y for _, _, y in parts]])]
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["seed", "id", "pos"])
 
 
 def window_hashes(h: np.ndarray) -> np.ndarray:
@@ -108,7 +211,7 @@ def open_windows(words: np.ndarray, shared: np.ndarray, own: np.ndarray, exact:
     n = len(words) - MIN_WORDS + 1
     if n < 1:
         return np.empty(0, np.int64)
-    at = sampled(words)[1]
+    at = np.arange(len(words) - K + 1)
 
     def inside(places: np.ndarray) -> np.ndarray:
         marks = np.zeros(len(words) + 1, np.int32)
@@ -131,7 +234,8 @@ def windows_of(marked: DataFrame) -> DataFrame:
             parts = []
             for i, places, own, exact, body in zip(*[batch.column(k).to_pylist() for k in range(5)], strict=True):
                 w, places = np.frombuffer(body, "<u4"), np.array(places, np.int64)
-                begin = open_windows(w, places, places[np.array(own, bool)], [(r["start"], r["end"]) for r in exact or ()])
+                own, places = places[np.array(own, bool)], places[places <= len(w) - K]  # a row of the same id may be longer
+                begin = open_windows(w, places, own[own <= len(w) - K], [(r["start"], r["end"]) for r in exact or ()])
                 if len(begin):
                     parts.append((i, window_hashes(w)[begin].view(np.int64), begin.astype(np.int32)))
             yield _placed(parts)
@@ -140,7 +244,8 @@ def windows_of(marked: DataFrame) -> DataFrame:
 
 
 def met_first(seeds: DataFrame, name: str) -> DataFrame:
-    """id, pos, ref_id, ref_pos of every seed that two documents have and its first occurrence, which meets itself too.
+    """id, pos, ref_id, ref_pos of every seed (of a window) that two documents have and its first occurrence, which meets
+    itself too.
 
     The first occurrences are map-side minima that are written before they are joined with the written seeds, so that the
     join of a seed with very many occurrences can be split.
@@ -331,6 +436,46 @@ def chains_of(matches: DataFrame, chains=document_chains) -> DataFrame:
     return dealt.select("id", "ref_id", "pos", "ref_pos").mapInArrow(run, CHAINS)
 
 
+SEEDED = CHAINS + ", places array<int>, own array<boolean>"
+
+
+def seeded(words: DataFrame, anchors: DataFrame) -> DataFrame:
+    """CHAINS of every document's seeds, and a row without ref_id a document that shares seeds, with the places of these
+    and whether they stand here first. words: id, words, part; anchors: rows of first_of_all."""
+
+    def run(batches):
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.bool_())]
+        for _, rows in _runs(_rows(batches), 0):
+            firsts = [r for r in rows if r[1] is None]
+            if not firsts:
+                continue
+            seeds, refs, at = _read(firsts)
+            order = np.argsort(seeds, kind="stable")
+            seeds, refs, at = seeds[order], refs[order], at[order]
+            out = []
+            for _, i, body, *_ in rows[len(firsts) :]:
+                own = seeds_of(np.frombuffer(body, "<u4"))
+                where = np.minimum(np.searchsorted(seeds, own), len(seeds) - 1)
+                pos = np.flatnonzero(seeds[where] == own)
+                if not len(pos):
+                    continue
+                ref, ref_pos = refs[where[pos]], at[where[pos]]
+                out.append((i, None, None, None, None, None, pos.astype(np.int32), (ref == i) & (ref_pos == pos)))
+                other = np.flatnonzero(ref != i)
+                if len(other) >= MIN_SEEDS:
+                    other = other[np.lexsort((pos[other], pos[other] - ref_pos[other], ref[other]))]
+                    out += [(i, *c, None, None) for c in document_chains(ref[other], pos[other], ref_pos[other])]
+                if len(out) >= 1000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], [x.split()[0] for x in SEEDED.split(", ")])
+                    out = []
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], [x.split()[0] for x in SEEDED.split(", ")])
+
+    nothing = [F.lit(None).cast(x.split()[1]).alias(x.split()[0]) for x in ENTRIES.split(", ")]
+    both = words.select("part", "id", "words", *nothing).union(anchors.select("part", F.lit(None).cast("long"), F.lit(None).cast("binary"), *_NAMES))
+    return both.repartition("part").sortWithinPartitions("part", F.asc_nulls_first("id")).mapInArrow(run, SEEDED)
+
+
 def _lcs(x: np.ndarray, y: np.ndarray) -> int:
     """Words in common order, exact for sides of any length: equal ends first, then a bit a word of the shorter side."""
     n = min(len(x), len(y))
@@ -499,17 +644,18 @@ def passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     store.small_batches(spark)
     docs = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
     words = store.keep(worded(docs), "words")
-    met = met_first(seeds_of(words), "met")
-    store.small_batches(spark, 10_000)
-    chains = store.keep(chains_of(met.filter("id <> ref_id")), "chains")
-    store.small_batches(spark)
+    with store.tables(spark) as own:
+        buckets = store.parts_for(words, BUCKET_BYTES)
+        anchors = [store.keep(first_of_all(first_in_part(words, buckets, turn)), "anchors") for turn in range(TURNS)]
+        shared = store.keep(seeded(words, functools.reduce(DataFrame.union, anchors)), "seeded")
+        own.release(shared)
+    chains = shared.filter("ref_id is not null").drop("places", "own")
     found = aligned_chains(store.keep(chains.filter("outer"), "outer"), words, "found")
 
+    marks = shared.filter("ref_id is null").select("id", "places", "own")
     # No list is longer than its text.
-    own = (F.col("id") == F.col("ref_id")) & (F.col("pos") == F.col("ref_pos"))
-    marks = met.groupBy("id").agg(F.collect_list(F.struct("pos", own.alias("own"))).alias("seeds"))
     exact = found.filter("exact").groupBy("id").agg(F.collect_set(F.struct("start", "end")).alias("exact"))
-    marks = store.keep(marks.join(exact, "id", "left").select("id", F.col("seeds.pos").alias("places"), F.col("seeds.own").alias("own"), "exact"), "marks")
+    marks = store.keep(marks.join(exact, "id", "left"), "marks")
     windows = met_first(windows_of(store.split(words, "id", marks)[0].join(marks, "id")), "windows")
     store.small_batches(spark, 10_000)
     more = store.keep(chains_of(windows.filter("id <> ref_id"), window_runs), "window-chains")

@@ -319,3 +319,14 @@ def test_passages_leave_no_shuffle_files(spark):
             break
         time.sleep(0.1)
     assert not files() - before
+
+
+def test_fuzzy_passages_with_every_sixth_word_changed(spark):
+    rng = random.Random(42)
+    rows = []
+    for k in range(40):
+        passage = prose(rng, 60).split()
+        changed = ["x%d" % rng.randrange(10**6) if i % 6 == 5 else w for i, w in enumerate(passage)]
+        rows += [(2 * k, prose(rng, 40) + " " + " ".join(passage)), (2 * k + 1, " ".join(changed) + " " + prose(rng, 40))]
+    got = substring.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r["id"], r["ref_id"]) for r in got} == {(2 * k + 1, 2 * k) for k in range(40)}
