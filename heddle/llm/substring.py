@@ -6,7 +6,9 @@ Rows are met in parts: a part asks once for each of its distinct seeds, gets the
 and reads its texts again with them. The matches of a document with one anchor document are merged along diagonals and
 chained in order with linear gap costs by prefix maxima in a Fenwick tree. A chain of two seeds or more is extended and aligned on the words, and kept if it covers `MIN_WORDS` words
 with `MIN_IDENTITY` of them equal; of a chain that is less alike the parts that are kept. A document's largest chains come
-first; one that lies inside of another is aligned only if no passage found covers it.
+first; one that lies inside of another is aligned only if no passage found covers it. A stretch that repeats a few words
+has a chain with the same anchor places for each repetition: these are one chain with shifts, whose first repetition is
+followed as far as the words are equal, and of whose passages only the fewest are rows that hold all windows of them all.
 
 What the star loses (a passage of pieces that stood in different documents before, or that repeats words) is found by
 windows: each `MIN_WORDS` words in a row of which other documents have all seeds are joined to their own first occurrence,
@@ -354,13 +356,46 @@ class Cover:
         self.runs[lo:hi] = [(start, end)]
 
 
-Chain = tuple[int, int, int, bool, list[int]]
+def fewest(spans: list[tuple[int, ...]]) -> list[tuple[int, ...]]:
+    """The fewest of spans (start, end; more may follow) that hold every MIN_WORDS words in a row that one of them holds."""
+    rows, out, k, held = sorted(spans), [], 0, -1
+    while k < len(rows):
+        held, best = max(held, rows[k][0]), rows[k]  # no window before held is open
+        while k < len(rows) and rows[k][0] <= held:
+            if rows[k][1] > best[1]:
+                best = rows[k]
+            k += 1
+        if best[1] - MIN_WORDS >= held:
+            out.append(best)
+            held = best[1] - MIN_WORDS + 1
+    return out
+
+
+Chain = tuple[int, int, int, bool, list[int], list[int]]
+
+
+def folded(chains: list[Chain]) -> list[Chain]:
+    """Chains with the same anchor places of which each touches the one before are one: its segments are those of the first,
+    its shifts how far on the others begin."""
+    last: dict[tuple, list] = {}
+    out = []
+    for i, lo, hi, outer, flat, shifts in sorted(chains, key=lambda c: c[1]):
+        shape = (i, outer, *[x if k % 4 > 1 else x - lo for k, x in enumerate(flat)])
+        row = last.get(shape)
+        if row is not None and lo <= row[2]:
+            row[2] = hi
+            row[5].append(lo - row[1])
+        else:
+            last[shape] = row = [i, lo, hi, outer, flat, list(shifts)]
+            out.append(row)
+    return [tuple(row) for row in out]
 
 
 def document_chains(ref: np.ndarray, pos: np.ndarray, at: np.ndarray) -> list[Chain]:
-    """(ref, lo, hi, outer, flat segments p, p_end, q, q_end in words) of a document's chains of MIN_SEEDS seeds or more.
+    """(ref, lo, hi, outer, flat segments p, p_end, q, q_end in words, shifts) of a document's chains of MIN_SEEDS seeds or
+    more.
 
-    outer: the chain is in no other one with more seeds.
+    outer: the chain is in no other one with more seeds; shifts: see folded.
     """
     r, p, pe, q, qe, k = _segments(ref, pos, at, K)
     cuts = np.concatenate(([0], np.flatnonzero(np.diff(r)) + 1, [len(r)])).tolist()
@@ -376,8 +411,8 @@ def document_chains(ref: np.ndarray, pos: np.ndarray, at: np.ndarray) -> list[Ch
         outer = not cover.holds(lo, hi)
         if outer:
             cover.add(lo, hi)
-        out.append((i, lo, hi, outer, flat))
-    return out
+        out.append((i, lo, hi, outer, flat, [0]))
+    return folded(out)
 
 
 def window_runs(ref: np.ndarray, pos: np.ndarray, at: np.ndarray) -> list[Chain]:
@@ -395,15 +430,15 @@ def window_runs(ref: np.ndarray, pos: np.ndarray, at: np.ndarray) -> list[Chain]
             k += 1
         if best[1] > end:
             lo, end, i, q0, q1 = best
-            out.append((i, lo, end, True, [lo, end, q0, q1]))
+            out.append((i, lo, end, True, [lo, end, q0, q1], [0]))
     return out
 
 
-CHAINS = "id long, ref_id long, lo int, hi int, outer boolean, segments array<int>"
+CHAINS = "id long, ref_id long, lo int, hi int, outer boolean, segments array<int>, shifts array<int>"
 
 
 def chains_of(matches: DataFrame, chains=document_chains) -> DataFrame:
-    """id, ref_id, lo, hi, outer, segments of the chains in matches (id, pos, ref_id, ref_pos).
+    """id, ref_id, lo, hi, outer, segments, shifts of the chains in matches (id, pos, ref_id, ref_pos).
 
     A task sees a document's matches one after another; there are no more than the document has seeds and windows.
     """
@@ -415,8 +450,8 @@ def chains_of(matches: DataFrame, chains=document_chains) -> DataFrame:
             ids = parts[0]
             cuts = np.concatenate(([0], np.flatnonzero(np.diff(ids)) + 1, [len(ids)])).tolist()
             rows = [(int(ids[a]), *c) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b > a for c in chains(*[x[a:b] for x in parts[1:]])]
-            columns = list(zip(*rows, strict=True)) if rows else [()] * 6
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.list_(pa.int32())]
+            columns = list(zip(*rows, strict=True)) if rows else [()] * 7
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.list_(pa.int32()), pa.list_(pa.int32())]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [x.split()[0] for x in CHAINS.split(", ")])
 
         for batch in batches:
@@ -444,7 +479,7 @@ def seeded(words: DataFrame, anchors: DataFrame) -> DataFrame:
     and whether they stand here first. words: id, words, part; anchors: rows of first_of_all."""
 
     def run(batches):
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.bool_())]
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), *[pa.list_(pa.int32())] * 3, pa.list_(pa.bool_())]
         for _, rows in _runs(_rows(batches), 0):
             firsts = [r for r in rows if r[1] is None]
             if not firsts:
@@ -460,7 +495,7 @@ def seeded(words: DataFrame, anchors: DataFrame) -> DataFrame:
                 if not len(pos):
                     continue
                 ref, ref_pos = refs[where[pos]], at[where[pos]]
-                out.append((i, None, None, None, None, None, pos.astype(np.int32), (ref == i) & (ref_pos == pos)))
+                out.append((i, None, None, None, None, None, None, pos.astype(np.int32), (ref == i) & (ref_pos == pos)))
                 other = np.flatnonzero(ref != i)
                 if len(other) >= MIN_SEEDS:
                     other = other[np.lexsort((pos[other], pos[other] - ref_pos[other], ref[other]))]
@@ -603,6 +638,25 @@ def aligned(x: np.ndarray, y: np.ndarray, s: np.ndarray) -> list[tuple[int, int,
     return sorted(out)
 
 
+def aligned_all(x: np.ndarray, y: np.ndarray, s: np.ndarray, shifts: list[int], hi: int) -> tuple[list[tuple[int, ...]], list[tuple[int, int]]]:
+    """aligned and equal_runs of a chain and its shifts, up to hi: the fewest that hold all windows of them all."""
+    if len(shifts) == 1:
+        return aligned(x, y, s), list(equal_runs(x, y, s))
+    _, p, _, q = s[-1].tolist()
+    n = min(hi - p, len(x) - p, len(y) - q)
+    long = s.copy()
+    long[-1, [1, 3]] += int(np.append(x[p : p + n] != y[q : q + n], True).argmax())  # as far as words are equal
+    spans, runs = aligned(x, y, long), equal_runs(x, y, long)
+    whole = [max(rows, key=lambda r: r[1] - r[0], default=(0, 0)) for rows in (spans, runs)]
+    for d in shifts:
+        start, end = max(0, int(s[0, 0]) + d - REACH), min(len(x), int(s[-1, 1]) + d + REACH)  # no passage of it goes further
+        if not all(r[0] <= start and end <= r[1] for r in whole):
+            moved = s + np.array([d, d, 0, 0])
+            spans += aligned(x, y, moved)
+            runs |= equal_runs(x, y, moved)
+    return fewest(spans), fewest(list(runs))
+
+
 SPANS = "id long, start int, end int, ref_id long, ref_start int, ref_end int, equal int, n int, exact boolean"
 
 
@@ -614,22 +668,23 @@ def aligned_chains(chains: DataFrame, words: DataFrame, name: str) -> DataFrame:
     """
     ids = store.keep(chains.select(F.explode(F.array("id", "ref_id")).alias("id")).distinct(), name + "-ids")
     words, _ = store.split(words, "id", ids)
-    last = F.element_at("segments", -1)
+    last = F.element_at("segments", -1) + F.col("hi") - F.element_at("segments", -3)  # of all shifts in a row
     piece = lambda body, start, end: F.substring(F.col(body), 4 * start + 1, 4 * (end - start))
     ends = chains.withColumn("x_from", F.greatest(F.col("lo") - REACH, F.lit(0))).withColumn("y_from", F.greatest(F.element_at("segments", 3) - REACH, F.lit(0)))
-    with_ref = ends.join(words.select(F.col("id").alias("ref_id"), F.col("words").alias("body")), "ref_id").select("id", "ref_id", "hi", "x_from", "y_from", "segments", piece("body", F.col("y_from"), last + REACH).alias("y"))
+    with_ref = ends.join(words.select(F.col("id").alias("ref_id"), F.col("words").alias("body")), "ref_id").select("id", "ref_id", "hi", "x_from", "y_from", "segments", "shifts", piece("body", F.col("y_from"), last + REACH).alias("y"))
     both = with_ref.join(words.select("id", F.col("words").alias("body")), "id")
-    both = both.select("id", "ref_id", "x_from", "y_from", "segments", piece("body", F.col("x_from"), F.col("hi") + REACH).alias("x"), "y", (F.length("body") / 4).cast("int").alias("n"))
+    both = both.select("id", "ref_id", "hi", "x_from", "y_from", "segments", "shifts", piece("body", F.col("x_from"), F.col("hi") + REACH).alias("x"), "y", (F.length("body") / 4).cast("int").alias("n"))
 
     def run(batches):
         for batch in batches:
             rows = []
-            for i, ref, x_from, y_from, segments, x, y, n in zip(*[batch.column(k).to_pylist() for k in range(8)], strict=True):
+            for i, ref, hi, x_from, y_from, segments, shifts, x, y, n in zip(*[batch.column(k).to_pylist() for k in range(10)], strict=True):
                 x, y = np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")
                 s = np.array(segments, np.int64).reshape(-1, 4) - np.array([x_from, x_from, y_from, y_from])
-                for start, end, ref_start, ref_end, equal in aligned(x, y, s):
+                spans, runs = aligned_all(x, y, s, shifts, hi - x_from)
+                for start, end, ref_start, ref_end, equal in spans:
                     rows.append((i, start + x_from, end + x_from, ref, ref_start + y_from, ref_end + y_from, equal, n, False))
-                rows += [(i, start + x_from, end + x_from, ref, None, None, end - start, n, True) for start, end in equal_runs(x, y, s)]
+                rows += [(i, start + x_from, end + x_from, ref, None, None, end - start, n, True) for start, end in runs]
             kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.bool_()]
             columns = list(zip(*rows, strict=True)) if rows else [()] * 9
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [x.split()[0] for x in SPANS.split(", ")])

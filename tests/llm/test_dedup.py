@@ -330,3 +330,33 @@ def test_fuzzy_passages_with_every_sixth_word_changed(spark):
         rows += [(2 * k, prose(rng, 40) + " " + " ".join(passage)), (2 * k + 1, " ".join(changed) + " " + prose(rng, 40))]
     got = substring.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {(r["id"], r["ref_id"]) for r in got} == {(2 * k + 1, 2 * k) for k in range(40)}
+
+
+def test_a_stretch_that_repeats_has_few_rows_and_all_of_its_words(spark):
+    rng = random.Random(43)
+    rows, want = [], {}
+    for k, (words, first, later) in enumerate([(2, 600, 500), (2, 120, 600), (9, 270, 450), (60, 60, 600)]):
+        line = ["v%d_%d" % (k, j) for j in range(words)]
+        rows.append((100 * k, " ".join([prose(rng, 30), *(line * (first // words)), prose(rng, 30)])))
+        for j in range(1, 6):
+            rows.append((100 * k + j, " ".join([prose(rng, 10 * j), *(line * (later // words)), prose(rng, 20)])))
+            want[100 * k + j] = (10 * j, 10 * j + later // words * words, 1 if first > later else 2 + later // (min(first, 128) - 49))
+    texts = {k: t.split() for k, t in rows}
+    got = {}
+    for r in substring.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got.setdefault(r["id"], []).append(r)
+        assert r["ref_id"] < r["id"] and r["equal"] >= 0.75 * max(r["end"] - r["start"], r["ref_end"] - r["ref_start"])
+        assert r["end"] <= len(texts[r["id"]]) and r["ref_end"] <= len(texts[r["ref_id"]])
+    for i, (start, end, most) in want.items():
+        assert set(range(start, end)) <= {p for r in got[i] for p in range(r["start"], r["end"])}, i
+        assert len(got[i]) <= most, (i, len(got[i]))
+
+
+def test_fewest_spans_hold_every_window_of_all():
+    rng = random.Random(44)
+    for _ in range(200):
+        spans = [(s, s + rng.randrange(50, 90)) for s in (rng.randrange(0, 400) for _ in range(rng.randrange(0, 40)))]
+        windows = lambda rows: {w for s, e in rows for w in range(s, e - 49)}
+        few = substring.fewest(spans)
+        assert set(few) <= set(spans) and windows(few) == windows(spans)
+        assert all(windows([s for s in few if s != x]) != windows(spans) for x in few)
